@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import knn, topn
+from factlens.llm import knn, quantiles, tokenize, topn
 from factlens.session import table
 
 
+#: Rank error of the percentiles, as a share of a group's values.
+EPS = 0.005
+
+
+def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, day, lines), one row per file: of its rows the one with the latest scanned_at counts."""
+    files = table(spark, sf_dir, "files").where("file_id is not null")
+    last = files.groupBy("file_id").agg(F.max(F.struct("scanned_at", "lines", "module")).alias("f"))
+    return last.select("f.module", F.to_date("f.scanned_at").alias("day"), "f.lines")
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of lines per module, merged from one digest per module and scan day."""
+    days = quantiles.digests(latest_lines(spark, sf_dir), ["module", "day"], "lines", EPS)
+    whole = quantiles.merged(days, ["module"], EPS)
+    return quantiles.percentiles(whole, ["module"], {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}, EPS)
+
+
+def p2_day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest rows of each module and scan day, which later runs can merge."""
+    return quantiles.digests(latest_lines(spark, sf_dir), ["module", "day"], "lines", EPS)
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files of which one is among the five nearest of the other."""
     wide = table(spark, sf_dir, "file_embeddings")
@@ -24,7 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(best, "snapshot_id", order, 10).select("snapshot_id", "path")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLE = {
     "p3_found": """
