@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import knn, quantiles, tokenize, topn
+from factlens.llm import knn, parsing, quantiles, tokenize, topn
+from factlens.llm.sources import current_sources
 from factlens.session import table
 
 
+def checked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, path, repo, language, valid) of every current file with a text."""
+    return parsing.checked(current_sources(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_texts"), ["path", "repo"]))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose current text does not parse."""
+    return checked_files(spark, sf_dir).where("not valid").select("file_id")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such files per repository and language."""
+    return parsing.rates(checked_files(spark, sf_dir))
+
+
 #: Rank error of the percentiles, as a share of a group's values.
 EPS = 0.005
 
@@ -52,7 +68,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(best, "snapshot_id", order, 10).select("snapshot_id", "path")
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 ORACLE = {
     "p3_found": """
