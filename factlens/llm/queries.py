@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import knn, parsing, quantiles, tokenize, topn
+from factlens.llm import handwritten, knn, parsing, quantiles, tokenize, topn
 from factlens.llm.sources import current_sources
 from factlens.session import table
 
@@ -48,6 +48,12 @@ def p2_day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.digests(latest_lines(spark, sf_dir), ["module", "day"], "lines", EPS)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were not written by hand for their repository."""
+    sources = current_sources(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_texts"), ["path", "repo"])
+    return handwritten.not_handwritten(sources, table(spark, sf_dir, "scan_config")).select("file_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -56,7 +62,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files of which one is among the five nearest of the other."""
     wide = table(spark, sf_dir, "file_embeddings")
-    pairs = knn.neighbour_pairs(knn.neighbours(knn.pack(wide, "file_id", [f"e{i}" for i in range(64)]), k=5))
+    pairs = knn.neighbour_pairs(knn.neighbours(knn.pack(wide, "file_id", [f"e{i}" for i in range(64)]), k=5, recall=1.0))
     return pairs.select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
 
@@ -71,7 +77,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
-    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids}
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 ORACLE = {
     "p3_found": """
