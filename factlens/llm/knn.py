@@ -11,7 +11,9 @@
 4. The slack is calibrated: the neighbours of a bounded set of sample queries are found exactly by brute force over
    all vectors, and the smallest slack whose visits hold the wanted recall is taken. Slack 1 is exact.
 
-Leaves are cut into blocks of points and blocks of queries, sized from counts, so that no leaf is ever one task.
+Leaves are shipped in bins of about POINTS vectors: neighbouring leaves of the tree share a bin, wide leaves (which most
+queries must visit) share bins of their own, and a leaf too large for one bin is cut into several, as are the queries
+of a bin with too many; all sized from counts, so that no leaf is ever one task. A visited bin is searched whole.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from factlens.session import written
 
-#: Visits of the first wave, points of a block, queries of a block.
-FIRST, POINTS, QUERIES = 2, 4096, 16384
+#: Leaves visited by the first wave, points of a bin, queries of a share.
+FIRST, POINTS, QUERIES = 3, 2048, 16384
 
 
 def pack(df: DataFrame, id_col: str, components: list[str]) -> DataFrame:
@@ -62,7 +64,7 @@ def unit(raws: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """children[n] lists a node's children (none: a leaf); leaf[n] numbers the leaves; radius and cap are angles."""
+    """children[n] lists a node's children (none: a leaf); leaf[n] numbers the leaves; radii are angles."""
 
     centre: np.ndarray
     children: list[np.ndarray]
@@ -97,23 +99,47 @@ class Tree:
                 away = np.arccos(np.clip(self.centre[kids] @ self.centre[n], -1, 1))
                 self.radius[n] = min(math.pi, float((away + self.radius[kids]).max()))
 
-    def visit(self, q: np.ndarray, slack: float, most: int | None = None, above: float = -2.0) -> list[int]:
-        """Leaves by best bin first, until `most` are visited or no branch can beat the cosine `above`."""
+    def prepare(self) -> None:
+        """What a visit needs of each node: its children's centres, and cosine and sine of their radii."""
+        self.at = [(kids.tolist(), self.centre[kids], self.radius[kids]) for kids in self.children]
+        self.leaf_node = np.zeros(self.leaves, dtype=np.int64)
+        self.leaf_node[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
+
+    def walk(self) -> np.ndarray:
+        """The leaves, neighbours of the tree next to each other."""
+        out, todo = [], [0]
+        while todo:
+            n = todo.pop()
+            if self.leaf[n] >= 0:
+                out.append(int(self.leaf[n]))
+            todo += self.children[n].tolist()
+        return np.array(out)
+
+    @staticmethod
+    def best(cosine: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """The greatest cosine to a point within `radius` of a centre at this cosine."""
+        c, s = np.cos(radius), np.sin(radius)
+        out = cosine * c + np.sqrt(np.maximum(0.0, 1.0 - cosine * cosine)) * s
+        return np.where(cosine >= c, 1.0, out)
+
+    def visit(self, q: np.ndarray, slack: float, most: int) -> list[int]:
+        """The first `most` leaves by best bin first."""
         heap, out = [(-1.0, 0)], []
-        while heap:
-            best, n = heapq.heappop(heap)
-            if -best < above or (most is not None and len(out) >= most):
-                break
-            kids = self.children[n]
-            if not len(kids):
+        while heap and len(out) < most:
+            _, n = heapq.heappop(heap)
+            kids, centre, radius = self.at[n]
+            if not kids:
                 out.append(int(self.leaf[n]))
                 continue
-            angle = np.arccos(np.clip(self.centre[kids] @ q, -1, 1)) - slack * self.radius[kids]
-            for b, k in zip(np.cos(np.maximum(angle, 0)).tolist(), kids.tolist(), strict=True):
-                if b >= above:
-                    heapq.heappush(heap, (-b, k))
+            for b, k in zip(self.best(centre @ q, slack * radius).tolist(), kids, strict=True):
+                heapq.heappush(heap, (-b, k))
         return out
 
+    def widen_to(self, q: np.ndarray, slack: float, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) of all leaves whose bin can still beat each query's bound: where its queue would end."""
+        node = self.leaf_node
+        return np.nonzero(self.best(q @ self.centre[node].T, slack * self.radius[node]) >= above[:, None])
+
 
 def fit(x: np.ndarray, branch: int, leaf_size: int, seed: int = 7) -> Tree:
     """Hierarchical spherical k-means on the sample; a node of at most `leaf_size` sample vectors, or of one direction only, is a leaf."""
@@ -154,53 +180,64 @@ def fit(x: np.ndarray, branch: int, leaf_size: int, seed: int = 7) -> Tree:
     return Tree(np.array(centre), children, np.array(leaf), np.zeros(len(centre)))
 
 
-def top(sims: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
-    """Per row the places of the k best by (similarity descending, id ascending)."""
-    if sims.shape[1] > 4 * k:
-        kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k][:, None]
-        out = np.empty((len(sims), k), dtype=np.int64)
-        for i, hit in enumerate(sims >= kth):
-            at = np.flatnonzero(hit)
-            out[i] = at[np.lexsort((low[at], -sims[i, at]))[:k]]
-        return out
-    return np.stack([np.lexsort((low, -s))[:k] for s in sims]) if len(sims) else np.zeros((0, k), dtype=np.int64)
+def top(sims: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k greatest similarities (rounded to 6 decimals), of equal ones the first."""
+    rows, width = sims.shape
+    key = np.rint(sims * 1e6).astype(np.int64) * (width + 1) - np.arange(width)
+    if width > k:
+        part = np.argpartition(key, width - k, axis=1)[:, width - k :]
+        key = np.take_along_axis(key, part, 1)
+        return np.take_along_axis(part, np.argsort(-key, axis=1), 1)
+    return np.argsort(-key, axis=1)
 
 
 def _search(k: int):
     def op(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"q1": [], "q2": [], "sim": [], "low": [], "ids": []})
-        x, low = unit(points["vec"].tolist()), points["low"].to_numpy()
-        ids = points["ids"].to_numpy()
+        points = points.sort_values("low", kind="stable")
+        x, low, ids = unit(points["vec"].tolist()), points["low"].to_numpy(), points["ids"].to_numpy()
+        q, h1, h2 = unit(queries["vec"].tolist()), queries["h1"].to_numpy(), queries["h2"].to_numpy()
         out = []
-        for at in range(0, len(queries), 512):
-            part = queries.iloc[at : at + 512]
-            sims = np.round(unit(part["vec"].tolist()) @ x.T, 6)
-            best = top(sims, low, k)
+        for at in range(0, len(q), 256):
+            to = min(at + 256, len(q))
+            sims = np.round(q[at:to] @ x.T, 6)
+            best = top(sims, k)
             flat = best.ravel()
-            out.append(
-                pd.DataFrame(
-                    {
-                        "q1": np.repeat(part["h1"].to_numpy(), best.shape[1]),
-                        "q2": np.repeat(part["h2"].to_numpy(), best.shape[1]),
-                        "sim": np.take_along_axis(sims, best, 1).ravel(),
-                        "low": low[flat],
-                        "ids": ids[flat],
-                    }
-                )
-            )
-        return pd.concat(out)
+            out.append((np.repeat(h1[at:to], best.shape[1]), np.repeat(h2[at:to], best.shape[1]), np.take_along_axis(sims, best, 1).ravel(), low[flat], ids[flat]))
+        return pd.DataFrame(dict(zip(["q1", "q2", "sim", "low", "ids"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return op
 
 
+def bins(tree: Tree, radius: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of each leaf; leaves of no vectors have none."""
+    order = tree.walk()
+    full = size[order] > 0
+    order = order[full]
+    wide = radius[order] > 2 * np.median(radius[order]) + 1e-6
+    first, count = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves, dtype=np.int64)
+    n = -1
+    for group in (order[~wide], order[wide]):
+        held = POINTS + 1
+        for leaf in group.tolist():
+            if held + size[leaf] > POINTS:
+                n, held = n + 1, 0
+            first[leaf] = n
+            count[leaf] = max(1, -(-int(size[leaf]) // POINTS))
+            held += int(size[leaf])
+            if count[leaf] > 1:
+                n, held = n + int(count[leaf]) - 1, POINTS + 1
+    return first, count
+
+
 def neighbours(
     vectors: DataFrame,
     k: int = 5,
     recall: float = 0.9999,
     sample: int = 20_000,
     branch: int = 12,
-    per_leaf: int = 200,
+    leaf_sample: int = 8,
     sample_queries: int = 200,
 ) -> DataFrame:
     """(id, neighbour, sim): the k most similar other ids of every id of `vectors` (id, vec from `pack`).
@@ -222,13 +259,13 @@ def neighbours(
     if not total:
         return spark.createDataFrame([], "id long, neighbour long, sim double")
     drawn = unit([bytes(r[0]) for r in nodes.orderBy("h1", "h2").select("vec").limit(sample).collect()])
-    tree = fit(drawn, branch, max(2, per_leaf * len(drawn) // max(total, 1)))
+    tree = fit(drawn, branch, leaf_sample)
+    tree.prepare()
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        at = np.zeros(t.leaves, dtype=np.int64)
-        at[t.leaf[t.leaf >= 0]] = np.flatnonzero(t.leaf >= 0)
+        at = t.leaf_node
         for b in batches:
             x = unit(b["vec"].tolist()) if len(b) else np.zeros((0, t.centre.shape[1]))
             b["leaf"] = t.file(x)
@@ -240,45 +277,49 @@ def neighbours(
     for r in filed.groupBy("leaf").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
         radius[r["leaf"]], size[r["leaf"]] = r["r"] + 1e-9, r["n"]
     tree.widen(radius)
+    tree.prepare()
     shared = spark.sparkContext.broadcast(tree)
 
     slack = _calibrated(filed, tree, k, recall, sample_queries)
-    blocks = np.maximum(1, -(-size // POINTS))
-    empty = size == 0
+    first_bin, bin_count = bins(tree, radius, size)
 
     def visits(df: DataFrame, second: bool) -> DataFrame:
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = shared.value
-            for b in batches:
-                rows, leaves, parts = [], [], []
-                for i, q in enumerate(unit(b["vec"].tolist()) if len(b) else []):
+            most = int((first_bin + bin_count).max())
+
+            def cells(row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+                times = bin_count[leaf]
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                return np.unique(np.repeat(row, times) * most + np.repeat(first_bin[leaf], times) + step)
+
+            for whole in batches:
+                for from_ in range(0, len(whole), 1024):
+                    b = whole.iloc[from_ : from_ + 1024]
+                    q = unit(b["vec"].tolist())
+                    got = [t.visit(x, 0.0, FIRST) for x in q]
+                    cell = cells(np.repeat(np.arange(len(b)), [len(g) for g in got]), np.array([v for g in got for v in g], dtype=np.int64))
                     if second:
-                        seen = set(t.visit(q, slack, FIRST))
-                        got = [v for v in t.visit(q, slack, None, b["kth"].iat[i] - 1e-6) if v not in seen]
-                    else:
-                        got = t.visit(q, slack, FIRST)
-                    for v in got:
-                        if not empty[v]:
-                            for p in range(blocks[v]):
-                                rows.append(i)
-                                leaves.append(v)
-                                parts.append(p)
-                out = b[["h1", "h2", "vec"]].iloc[rows].copy()
-                out["leaf"], out["block"] = np.array(leaves, dtype=np.int64), np.array(parts, dtype=np.int64)
-                yield out
-
-        return df.mapInPandas(op, "h1 long, h2 long, vec binary, leaf long, block long")
+                        cell = np.setdiff1d(cells(*t.widen_to(q, slack, b["kth"].to_numpy() - 1e-6)), cell, assume_unique=True)
+                    out = b[["h1", "h2", "vec"]].iloc[cell // most].copy()
+                    out["bin"] = cell % most
+                    yield out
+
+        return df.mapInPandas(op, "h1 long, h2 long, vec binary, bin long")
+
+    # One row per leaf, and one per bin: bounded by the sample and by rows / POINTS.
+    place = F.broadcast(spark.createDataFrame([(i, int(first_bin[i]), int(bin_count[i])) for i in range(tree.leaves) if size[i]], "leaf long, first long, bins long"))
+    binned = filed.join(place, "leaf").select((F.col("first") + F.pmod("h2", F.col("bins"))).alias("bin"), "vec", "low", "ids")
 
     def wave(df: DataFrame, name: str) -> DataFrame:
         asked = written(df, f"knn-{name}-visits")
-        shares = {(r["leaf"], r["block"]): max(1, -(-r["n"] // QUERIES)) for r in asked.groupBy("leaf", "block").agg(F.count("*").alias("n")).collect()}
+        shares = [(r["bin"], max(1, -(-r["n"] // QUERIES))) for r in asked.groupBy("bin").agg(F.count("*").alias("n")).collect()]
         if not shares:
             return spark.createDataFrame([], "q1 long, q2 long, sim double, low long, ids array<long>")
-        plan = F.broadcast(spark.createDataFrame([(int(a), int(b), int(n), int(blocks[a])) for (a, b), n in shares.items()], "leaf long, block long, shares long, blocks long"))
-        q = asked.join(plan.select("leaf", "block", "shares"), ["leaf", "block"]).withColumn("share", F.pmod(F.xxhash64("h1"), F.col("shares")))
-        cut = filed.join(F.broadcast(plan.select("leaf", "blocks").distinct()), "leaf").withColumn("block", F.pmod("h2", F.col("blocks")))
-        p = cut.join(plan.select("leaf", "block", "shares"), ["leaf", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        by = ["leaf", "block", "share"]
+        plan = F.broadcast(spark.createDataFrame(shares, "bin long, shares long"))
+        q = asked.join(plan, "bin").withColumn("share", F.pmod(F.xxhash64("h1"), F.col("shares")))
+        p = binned.join(plan, "bin").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        by = ["bin", "share"]
         return (
             q.select(*by, "h1", "h2", "vec")
             .groupBy(*by)
@@ -309,18 +350,20 @@ def neighbours(
 
 
 def _calibrated(filed: DataFrame, tree: Tree, k: int, recall: float, queries: int) -> float:
-    """The smallest slack whose visits hold `recall` of the true neighbours of the sample queries (1 if none does)."""
+    """The smallest slack whose visits hold `recall` of the true neighbours of the sample queries (1 if none does, or if all are wanted)."""
+    if recall >= 1:
+        return 1.0
     asked = [bytes(r[0]) for r in filed.orderBy("h2", "h1").select("vec").limit(queries).collect()]
     q = unit(asked)
 
     def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
+                b = b.sort_values("low", kind="stable")
                 sims = np.round(q @ unit(b["vec"].tolist()).T, 6)
-                best = top(sims, b["low"].to_numpy(), min(k + 1, len(b)))
-                yield pd.DataFrame(
-                    {"q": np.repeat(np.arange(len(q)), best.shape[1]), "sim": np.take_along_axis(sims, best, 1).ravel(), "low": b["low"].to_numpy()[best.ravel()], "leaf": b["leaf"].to_numpy()[best.ravel()]}
-                )
+                best = top(sims, min(k + 1, len(b)))
+                low, leaf = b["low"].to_numpy()[best.ravel()], b["leaf"].to_numpy()[best.ravel()]
+                yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), best.shape[1]), "sim": np.take_along_axis(sims, best, 1).ravel(), "low": low, "leaf": leaf})
 
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "low")
     found = filed.select("vec", "low", "leaf").mapInPandas(op, "q long, sim double, low long, leaf long").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
@@ -330,7 +373,8 @@ def _calibrated(filed: DataFrame, tree: Tree, k: int, recall: float, queries: in
     for slack in (0.3, 0.5, 0.7, 0.8, 0.9):
         held = asked_for = 0
         for i, hits in true.items():
-            got = set(tree.visit(q[i], slack, FIRST)) | set(tree.visit(q[i], slack, None, min(s for s, _ in hits) - 1e-6))
+            above = np.array([min(s for s, _ in hits) - 1e-6])
+            got = set(tree.visit(q[i], 0.0, FIRST)) | set(tree.widen_to(q[i : i + 1], slack, above)[1].tolist())
             held += sum(leaf in got for _, leaf in hits)
             asked_for += len(hits)
         if held >= recall * asked_for:
