@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import handwritten, knn, parsing, quantiles, tokenize, topn
+from factlens.llm import handwritten, knn, leakage, parsing, quality, quantiles, tokenize, topn
 from factlens.llm.sources import current_sources
 from factlens.session import table
 
@@ -25,6 +25,22 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.rates(checked_files(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and the learned type of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part no natural prose."""
+    return p9_quality(spark, sf_dir).where("kind = 'no prose'").select("doc_id")
+
+
 #: Rank error of the percentiles, as a share of a group's values.
 EPS = 0.005
 
@@ -77,7 +93,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
-    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_quality": p9_quality}
 
 ORACLE = {
     "p3_found": """
