@@ -1 +1 @@
-"""factlens.operators"""
+"""Operators of the core, as functions from DataFrames to DataFrames."""
