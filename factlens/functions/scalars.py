@@ -156,7 +156,7 @@ def strip_code(body: Column) -> Column:
 
     One alternation finds whichever of comment or string starts first; an unclosed string or comment runs to the end.
     """
-    pattern = r"""//[^\n]*|/\*(?:(?!\*/)[\s\S])*(?:\*/)?|"(?:[^"\\]|\\[\s\S])*"?|'(?:[^'\\]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?"""
+    pattern = r"""//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'?|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"""
     keep = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     gaps = F.split(body, pattern)
     return F.array_join(

@@ -1 +1 @@
-"""factlens.streaming"""
+"""Structured Streaming sources and sinks."""
