@@ -54,21 +54,21 @@ def line_votes(line: str, before: str, after: str) -> tuple[int, ...]:
     letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in s)
     blanks = sum(c.isspace() for c in s)
     low = [w.lower() for w in words if not w.isdigit()]
-    unspaced = UNSPACED.search(s) is not None
+    unspaced = UNSPACED.search(s) is not None and letters > 0.5 * n
     common = sum(w in COMMON for w in low)
     share = common / len(low) if low else 0.0
-    v_common = 0 if common >= 2 or share >= 0.25 or (unspaced and letters > 0.5 * n) else 1 if not common and len(words) != 1 else 2
+    v_common = 0 if common >= 2 or share >= 0.25 or unspaced else 1 if not common and len(words) != 1 else 2
     rest = (n - letters - blanks) / n
     v_symbols = 1 if rest >= 0.28 else 0 if rest <= 0.12 else 2
     entry = bool(re.match(r"(?:[-*+•·]|\(?\d+[.):]|\[[ xX]\]|[A-Za-z_][\w.]*\s*[=:]\s*\S+$|[{}\[\]<|\"]|\|)", s))
     fields = max(s.count(d) for d in ("\t", ";", "|", ","))
     sep = s.count("\t") >= 1 or s.count(";") >= 2 or s.count("|") >= 2 or (s.count(",") >= 2 and s.count(", ") < s.count(","))
-    v_shape = 1 if entry or (sep and fields >= 2) or re.search(r"\S {3,}\S", s) or (s.count("/") >= 1 and blanks == 0) else 0 if len(words) >= 5 else 2
+    v_shape = 1 if entry or (sep and fields >= 2) or re.search(r"\S {3,}\S", s) or (s.count("/") >= 1 and blanks == 0) else 0 if len(words) >= 5 or unspaced else 2
     token = (n - blanks) / (blanks + 1)
-    v_spaces = 1 if n >= 20 and token > 14 and not unspaced else 0 if 3 <= token <= 8 and len(words) >= 4 else 2
+    v_spaces = 0 if unspaced else 1 if n >= 20 and token > 14 else 0 if 3 <= token <= 8 and len(words) >= 4 else 2
     mean = sum(map(len, words)) / len(words) if words else 0.0
-    v_length = 1 if mean > 9 and not unspaced else 0 if len(words) >= 4 and 3 <= mean <= 7.5 and letters > 0.6 * n else 2
-    v_ending = 0 if ENDS.search(s) and len(words) >= 3 else 1 if s[-1:] in ";|{}[]" else 2
+    v_length = 0 if unspaced else 1 if mean > 9 else 0 if len(words) >= 4 and 3 <= mean <= 7.5 and letters > 0.6 * n else 2
+    v_ending = 0 if ENDS.search(s) and (len(words) >= 3 or unspaced) else 1 if s[-1:] in ";|{}[]" else 2
     shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", s))
     v_run = 1 if any(o and re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", o.strip())) == shape for o in (before, after)) else 2
     long_ = [w for w in low if len(w) >= 4 and w.isalpha()]

@@ -30,7 +30,7 @@ def highest(code: Column) -> Column:
     """The greatest value of a code (the value itself where codes are exact)."""
     shift = F.greatest((code / F.lit(1 << BITS)).cast("long") - 1, F.lit(0)).cast("int")
     mantissa = code - shift.cast("long") * (1 << BITS)
-    return F.call_function("shiftleft", mantissa, shift) + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+    return F.call_function("shiftleft", mantissa, shift) - 1 + F.call_function("shiftleft", F.lit(1).cast("long"), shift)
 
 
 def compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -434,31 +434,45 @@ class Python(Language):
         return tuple(cur)
 
     def holes_ok(self, tok: str) -> bool:
-        body = tok[_FSTRING.match(tok).end() :].strip("\"'").replace("{{", "").replace("}}", "")
-        at = 0
-        while (at := body.find("{", at)) >= 0:
-            depth, i, end = 0, at + 1, -1
-            while i < len(body):
-                c = body[i]
-                if c in "([{":
-                    depth += 1
-                elif c in ")]" or (c == "}" and depth):
-                    depth -= 1
-                elif depth == 0 and (c == "}" or c == ":" or (c == "!" and body[i + 1 : i + 2] != "=")):
-                    end = i
-                    break
-                i += 1
-            if end < 0:
-                return False
-            inner = body[at + 1 : end].strip().removesuffix("=").strip()
-            seq = self.fold("(" + inner + ")")
-            if seq is None or not self.grammar.derives(self.hole_at, seq[:1]) or seq[1:] != (self.n,):
+        body = tok[_FSTRING.match(tok).end() :]
+        return self._fields_ok(body[3:-3] if body[:3] in ('"""', "'''") else body[1:-1], False)
+
+    def _fields_ok(self, body: str, spec: bool) -> bool:
+        """Whether the fields of a format text are expressions; a format spec may hold fields of its own."""
+        i = 0
+        while i < len(body):
+            two = body[i : i + 2]
+            if two in ("{{", "}}") and not spec:
+                i += 2
+            elif body[i] == "}":
                 return False
-            close = body.find("}", end)
-            if close < 0:
-                return False
-            at = close + 1
-        return "}" not in re.sub(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", body)
+            elif body[i] != "{":
+                i += 1
+            else:
+                depth, at, end = 0, i + 1, -1
+                while at < len(body):
+                    c = body[at]
+                    if depth == 0 and (c in ":}" or (c == "!" and body[at + 1 : at + 2] != "=")):
+                        end = at
+                        break
+                    depth += (c in "([{") - (c in ")]}")
+                    at += 1
+                if end < 0:
+                    return False
+                seq = self.fold("(" + body[i + 1 : end].strip().removesuffix("=").strip() + ")")
+                if seq is None or not self.grammar.derives(self.hole_at, seq[:1]) or seq[1:] != (self.n,):
+                    return False
+                close, depth = end, 0
+                while close < len(body) and (depth or body[close] != "}"):
+                    depth += (body[close] == "{") - (body[close] == "}")
+                    close += 1
+                if close == len(body):
+                    return False
+                colon = body.find(":", end, close)
+                if colon >= 0 and not self._fields_ok(body[colon + 1 : close], True):
+                    return False
+                i = close + 1
+        return True
 
 
 _FSTRING = re.compile(r"(?i)(?:f|rf|fr|t|rt|tr)(?=[\"'])")
