@@ -336,8 +336,9 @@ def clustering(spark: SparkSession, d: str) -> DataFrame:
 
 @query("spanning_forest")
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
-    """A lightest forest over the summed edges."""
-    g = table(spark, d, "module_edges").groupBy("from_module", "to_module").agg(F.sum("edges").alias("n"))
+    """A lightest forest over the edges summed by area (the second part of a module)."""
+    area = lambda c: F.split_part(F.col(c), F.lit("."), F.lit(2)).alias(c)
+    g = table(spark, d, "module_edges").groupBy(area("from_module"), area("to_module")).agg(F.sum("edges").alias("n"))
     return graph.spanning_forest(graph.build(g.where("n is not null"), "from_module", "to_module", "n"))
 
 
