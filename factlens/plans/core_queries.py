@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions import scalars as S
 from factlens.operators import datalog, diff, evolution, graph, structure, trend, vectors
-from factlens.plans import policies, rayfall
+from factlens.plans import policies, prefix
 from factlens.plans.typed_query import Filter, Sort, TableQuery
 from factlens.plans.typed_query import run as typed
 from factlens.session import table
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 
 def program(name: str, text: str, tables: list[str], sql: str) -> None:
     """Registers a program of the query language."""
-    QUERIES[name] = lambda spark, d: rayfall.engine(spark, {t: table(spark, d, t) for t in tables}).rows(text)
+    QUERIES[name] = lambda spark, d: prefix.engine(spark, {t: table(spark, d, t) for t in tables}).rows(text)
     ORACLE[name] = sql
 
 
@@ -94,7 +94,7 @@ program(
     "select language, language, count(*) as n, sum(bytes)::bigint as bytes from files where bytes > 1000 and file_id in (select file_id from file_texts where content <> '') group by 1",
 )
 ORACLE["semi_join_in"] = "select language, count(*) as n, sum(bytes)::bigint as bytes from files where bytes > 1000 and file_id in (select file_id from file_texts where content <> '') group by 1"
-QUERIES["semi_join_in"] = lambda spark, d: rayfall.engine(spark, {t: table(spark, d, t) for t in ("files", "file_texts")}).rows(
+QUERIES["semi_join_in"] = lambda spark, d: prefix.engine(spark, {t: table(spark, d, t) for t in ("files", "file_texts")}).rows(
     "(select {n: (count path) bytes: (sum bytes) from: (select {from: files where: (and (in file_id (at (select {from: file_texts where: (!= content \"\")}) 'file_id)) (> bytes 1000))}) by: language})"
 )
 program(
@@ -116,7 +116,7 @@ program(
     "select repo, count(*) as n from (select repo from snapshots union all select repo from files) group by 1",
 )
 program("count_atom", "(count t)", ["module_edges"], "select 1 as value where false")
-QUERIES["count_atom"] = lambda spark, d: rayfall.engine(spark, {"t": table(spark, d, "module_edges")}).rows("(count t)")
+QUERIES["count_atom"] = lambda spark, d: prefix.engine(spark, {"t": table(spark, d, "module_edges")}).rows("(count t)")
 ORACLE["count_atom"] = "select count(*) as value from module_edges"
 program("column_vector", "(at (select {path: path from: trend_hotspots where: (> risk_score 5000)}) 'path)", ["trend_hotspots"], "select path as value from trend_hotspots where risk_score > 5000")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions.scalars import severity
-from factlens.plans.rayfall import engine, promote
+from factlens.plans.prefix import engine, promote
 
 #: The columns a policy must give.
 REQUIRED = ("severity", "code", "path", "message")

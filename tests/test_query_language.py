@@ -1,7 +1,7 @@
 import pytest
 
 from factlens.plans.policies import PolicyResult, evaluate, exit_code
-from factlens.plans.rayfall import engine
+from factlens.plans.prefix import engine
 from factlens.plans.reader import EvalError
 from factlens.plans.typed_query import Filter, QueryError, Sort, TableQuery, counts, from_cli, from_json, run
 
