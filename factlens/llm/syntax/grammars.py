@@ -762,7 +762,7 @@ dict : <ditem <"," ditem>* ","?>? | test ":" test compfor | sexpr compfor
 ditem : test ":" test | "**" bin | sexpr
 """
 
-RAYFALL = """
+RFL = """
 %list file (
 file : form*
 form : ATOM | NUM | STR | "'" form | (form*) | [form*] | {pair*}

@@ -527,7 +527,7 @@ def _languages() -> dict[str, list[Language]]:
     for o in ("==", "!=", "<=", ">="):
         py.kind[o] = py.grammar.terminal("CMP")
     py.pattern = re.compile(py.pattern.pattern.replace(r"[\s﻿]+", r"[ \t\f\r﻿]+", 1))
-    rfl = Language("rayfall", grammars.RAYFALL, "file", [r";[^\n]*"], [r'"(?:[^"\\]|\\[\s\S])*"'], "'", "", names=r"[^\s()\[\]{}\"';]+", special=[(r"[^\s()\[\]{}\"';:]+:", "KEY"), (r"[^\s()\[\]{}\"';]+", "ATOM"), (r'"', "BAD")], string_first='"', char_literals=False)
+    rfl = Language("rayfall", grammars.RFL, "file", [r";[^\n]*"], [r'"(?:[^"\\]|\\[\s\S])*"'], "'", "", names=r"[^\s()\[\]{}\"';]+", special=[(r"[^\s()\[\]{}\"';:]+:", "KEY"), (r"[^\s()\[\]{}\"';]+", "ATOM"), (r'"', "BAD")], string_first='"', char_literals=False)
     out = {x.name: [x] for x in (c, cpp, java, cs, rust, ts, kt, sw, scala, ruby, py, rfl)}
     out["kts"] = [kts]
     return out
