@@ -134,3 +134,34 @@ def calls(found: DataFrame, declared: DataFrame) -> DataFrame:
     around = declared.select("file_id", "start_line", "end_line")
     j = rows.join(around, "file_id", "left").groupBy("file_id", "target", "line").agg(F.max(F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), F.col("start_line"))).alias("function_start"))
     return j
+
+
+#: How a type names its bases, and how an implementation names trait and type.
+BASES = r"\b(?:class|struct|enum|trait|interface|protocol|record|object)\s+\w+(?:<[^>]*>)?\s*(?:\([^)]*\)\s*)?(?::|<|\bextends\b|\bimplements\b)\s*([^{]+)"
+PYTHON_BASES = r"^\s*class\s+\w+\s*\(([^)]*)\)"
+IMPL = r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+([\w:]+)"
+
+
+def bases(found: DataFrame) -> DataFrame:
+    """(file_id, line, base) per base a type declaration names; generic arguments and keyword arguments are cut off."""
+    raw = F.when(F.col("language") == "python", F.regexp_extract("text", PYTHON_BASES, 1)).otherwise(F.regexp_extract("text", BASES, 1))
+    rows = lines_of(found).withColumn("raw", F.regexp_replace(F.regexp_replace(raw, r"<[^<>]*>", ""), r"\([^()]*\)|\bwhere\b.*", "")).where("raw <> ''")
+    each = rows.select("file_id", "line", F.explode(F.split(F.regexp_replace("raw", r"\b(?:extends|implements|with|public|private|protected|virtual)\b", ","), r"[,:+&]")).alias("base"))
+    return each.select("file_id", "line", F.trim("base").alias("base")).where(r"base rlike '^[A-Za-z_][\\w.]*$'")
+
+
+def trait_impls(found: DataFrame) -> DataFrame:
+    """(file_id, trait_name, type_name, line) of implementations of a trait for a type."""
+    rows = lines_of(found).where("language = 'rust'").select("file_id", F.regexp_extract("text", IMPL, 1).alias("trait_name"), F.regexp_extract("text", IMPL, 2).alias("type_name"), "line")
+    return rows.where("trait_name <> '' and type_name <> ''")
+
+
+def entry_points(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """(file_id, kind, symbol): `main` functions (binary), files under examples (example), tests by path or name (test)."""
+    path = F.col("path")
+    f = found.select("file_id", "path")
+    d = declared.select("file_id", "name").join(f, "file_id")
+    binary = d.where("name = 'main'").select("file_id", F.lit("binary").alias("kind"), F.col("name").alias("symbol"))
+    example = f.where(path.rlike(r"(^|/)examples/")).select("file_id", F.lit("example").alias("kind"), path.alias("symbol"))
+    test = d.where(S.is_test_path(path) | F.col("name").rlike("^test_|_test$")).select("file_id", F.lit("test").alias("kind"), F.col("name").alias("symbol"))
+    return binary.unionByName(example).unionByName(test).distinct()
