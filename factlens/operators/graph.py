@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.operators.fixpoint import grow
-from factlens.session import checkpointed
+from factlens.session import checkpointed, settled
 
 
 def build(df: DataFrame, src: str, dst: str, weight: str | None = None) -> DataFrame:
@@ -201,13 +201,13 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 
 def components(edges: DataFrame) -> DataFrame:
     """(_node, _component): weakly connected, named by their least node, with pointer jumping so that rounds grow with the log of the diameter."""
-    both = checkpointed(simple(edges).union(reverse(simple(edges)).select("src", "dst")).distinct())
-    label = checkpointed(nodes(edges).withColumn("label", F.col("node")))
+    both = settled(simple(edges).union(reverse(simple(edges)).select("src", "dst")).distinct())
+    label = settled(nodes(edges).withColumn("label", F.col("node")))
     while True:
         near = both.join(label.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
         lower = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("mid"), "label")
         jump = label.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        after = checkpointed(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("new"), "label"))
+        after = settled(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("new"), "label"))
         moved = not after.where("new <> label").isEmpty()
         label = after.select("node", F.col("new").alias("label"))
         if not moved:
@@ -279,23 +279,23 @@ def closeness(edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame, weight: str = "weight") -> DataFrame:
-    """(src, dst, weight) of a minimum spanning forest, by Boruvka rounds; ties by (weight, src, dst)."""
+    """(src, dst, weight) of a minimum spanning forest, by Boruvka rounds; ties by (weight, src, dst).
+
+    A round keeps the lightest edge of each pair of parts only, so the graph shrinks with its parts, by half or more.
+    """
     und = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col(weight).cast("double").alias("weight")).where("src <> dst")
-    und = checkpointed(und.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    part = checkpointed(nodes(und).withColumn("part", F.col("node")))
-    chosen = checkpointed(und.limit(0))
-    while True:
-        a, b = part.select(F.col("node").alias("src"), F.col("part").alias("pa")), part.select(F.col("node").alias("dst"), F.col("part").alias("pb"))
-        cross = checkpointed(und.join(a, "src").join(b, "dst").where("pa <> pb"))
-        if cross.isEmpty():
-            return chosen
-        key = F.struct("weight", "src", "dst")
-        best = cross.select(F.explode(F.array("pa", "pb")).alias("part"), key.alias("k")).groupBy("part").agg(F.min("k").alias("k"))
-        chosen = checkpointed(chosen.unionByName(best.select("k.src", "k.dst", "k.weight").distinct()))
-        # Only the parts that this round joins are merged: a graph that shrinks by half or more each round.
-        picked = checkpointed(best.select("k.src", "k.dst").distinct().join(cross, ["src", "dst"]).select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
-        merged = components(picked).select(F.col("_node").alias("part"), F.col("_component").alias("new"))
-        part = checkpointed(part.join(merged, "part", "left").select("node", F.coalesce("new", "part").alias("part")))
+    cross = settled(und.groupBy(F.col("src").alias("pa"), F.col("dst").alias("pb")).agg(F.min("weight").alias("weight")).select("pa", "pb", F.struct("weight", F.col("pa").alias("src"), F.col("pb").alias("dst")).alias("k")))
+    chosen = settled(cross.select("k.src", "k.dst", "k.weight").limit(0))
+    while not cross.isEmpty():
+        best = cross.select("pa", "pb", "k", F.explode(F.array("pa", "pb")).alias("part")).groupBy("part").agg(F.min(F.struct("k", "pa", "pb")).alias("b"))
+        best = settled(best.select("b.*").distinct())
+        chosen = settled(chosen.unionByName(best.select("k.src", "k.dst", "k.weight")))
+        # Only the parts that this round joins are merged: every part with an edge out of it.
+        merged = components(best.select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
+        a, b = merged.select(F.col("_node").alias("pa"), F.col("_component").alias("na")), merged.select(F.col("_node").alias("pb"), F.col("_component").alias("nb"))
+        far = cross.join(a, "pa").join(b, "pb").where("na <> nb")
+        cross = settled(far.groupBy(F.least("na", "nb").alias("pa"), F.greatest("na", "nb").alias("pb")).agg(F.min("k").alias("k")))
+    return chosen
 
 
 def random_walk(edges: DataFrame, starts: DataFrame, length: int, seed: int = 7) -> DataFrame:

@@ -49,6 +49,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`checkpointed`, and without the estimated size: joins multiply it, so over the rounds of a loop the number itself outgrows the driver."""
+    spark = df.sparkSession
+    j = checkpointed(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(j.javaRDD(), j.schema()), spark)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: compressed, reliable, and shared by several readers."""
     spark = df.sparkSession

@@ -67,3 +67,12 @@ def test_empty_loops_and_nulls(spark):
     assert graph.components(none).count() == 0 and graph.levels(none).count() == 0
     assert graph.topological(none).count() == 0 and graph.pagerank(none).count() == 0
     assert graph.degree(e).count() == 2
+
+
+def test_registered_forest_joins_modules_of_one_area(spark, tmp_path):
+    from factlens.plans import core_queries
+
+    rows = [("a.x.p", "a.x.q", 2), ("a.x.q", "a.x.p", 3), ("a.x.q", "b.y.r", 1), ("a.x.p", "b.y.r", 4), ("c.x.s", "a.x.p", 1), ("c.x.s", "c.x.s", 1)]
+    spark.createDataFrame(rows, "from_module string, to_module string, edges int").write.parquet(str(tmp_path / "module_edges.parquet"))
+    got = {tuple(r) for r in core_queries.spanning_forest(spark, str(tmp_path)).collect()}
+    assert got == {("a.x.p", "a.x.q", 2.0), ("a.x.q", "b.y.r", 1.0), ("a.x.p", "c.x.s", 1.0)}
