@@ -1,13 +1,14 @@
 """Evaluation texts that occur, whole or in part, in corpus documents.
 
 1. Texts are cut into pieces (runs of letters and digits; case, punctuation, spacing and markup are dropped).
-2. Pieces are canonicalised: a piece found in many items is phrasing and stays itself; any other piece becomes a typed
-   placeholder, a value (it has a digit) or a name. Units stay phrasing. So a re-parameterised question keeps its template.
-3. Windows of WINDOW canonical pieces are hash-joined with those of the items, which every task holds.
-4. Slot consistency: of a joined window, the placeholders' own values are compared. A pair whose windows agree in at
-   least SLOTS distinct slot positions is a copy to be measured; one that only ever maps slots consistently to other
-   values is a re-parameterised question.
-5. An exact check aligns the passage with the item and measures it in the item's words.
+2. Grams of GRAM raw pieces at the words of the items are hash-joined with those of the documents; every task holds the
+   items'. A pair of which SHARED of the item's words begin a shared gram is measured: no passage within the limits has
+   fewer, whatever its words, so nothing is lost before the exact check.
+3. The exact check aligns the passage with the item and measures it in the item's words.
+
+For re-parameterised questions, pieces are canonicalised: a piece found in many distinct items is phrasing and stays
+itself; any other piece becomes a typed placeholder, a value (it has a digit) or a name. Units stay phrasing. Windows of
+WINDOW canonical pieces are joined, and a text that follows a template with one renaming of its slots is such a question.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Canonical pieces of a window, equal slots that make a candidate, share of items that makes a piece phrasing.
-WINDOW, SLOTS, PHRASING = 5, 3, 0.04
+#: Canonical pieces of a window, share of distinct items that makes a piece phrasing.
+WINDOW, PHRASING = 5, 0.04
 #: Items that a task holds at once; more are taken in blocks.
 BLOCK = 20_000
 #: Consecutive words of an exact passage; words and share of edits of an altered one.
 EXACT, ALTERED, EDITS = 15, 35, 0.2
+#: Pieces of a raw gram, and the item's words that must begin a shared one: an edit breaks at most GRAM of the grams of its words, and a
+#: passage of EXACT words has 13, so no passage within the limits has fewer.
+GRAM = 3
+SHARED = min(EXACT - GRAM + 1, ALTERED - GRAM + 1 - GRAM * int(EDITS * ALTERED))
 
 MARKUP = re.compile(r"<!--[\s\S]*?-->|</?[A-Za-z][^<>\n]{0,200}>")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
@@ -52,6 +57,12 @@ def pieces(text: str) -> list[str]:
     return PIECE.findall(plain(text))
 
 
+def word_numbers(text: str) -> np.ndarray:
+    """The number of the word that each piece belongs to."""
+    held = [len(PIECE.findall(w)) for w in plain(text).split()]
+    return np.repeat(np.cumsum(np.array(held, dtype=np.int64) > 0) - 1, held)
+
+
 def body(text: str) -> str:
     """An item without its first line, the stock instruction."""
     return text.split("\n", 1)[1] if "\n" in text else ""
@@ -94,14 +105,19 @@ class Items:
             hashes.append(h)
             items.append(np.full(len(h), i))
             places.append(np.arange(len(h)))
-            raws.append(np.lib.stride_tricks.sliding_window_view(raw, WINDOW) if len(raw) >= WINDOW else np.zeros((0, WINDOW), dtype=np.int64))
+            raws.append(raw)
         h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
         self.item = np.concatenate(items)[order] if items else np.zeros(0, dtype=np.int64)
         self.place = np.concatenate(places)[order] if items else np.zeros(0, dtype=np.int64)
-        self.raw = np.concatenate(raws)[order] if items else np.zeros((0, WINDOW), dtype=np.int64)
-        self.slot = ~self.stock[self.raw]
+        self.raws = raws
+        begins = [np.flatnonzero(np.diff(w, prepend=-1)) for w in self.word]
+        grams = [self.grams(r)[b[b <= len(r) - GRAM]] for r, b in zip(raws, begins, strict=True)]
+        g = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(g, kind="stable")
+        self.gram = g[order]
+        self.gram_item = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order] if grams else np.zeros(0, dtype=np.int64)
 
     def canonical(self, raw: np.ndarray, unknown_digit: np.ndarray) -> np.ndarray:
         """Phrasing as its number, names as 1, values as 2."""
@@ -125,41 +141,31 @@ class Items:
             out ^= out >> np.uint64(29)
         return out
 
-    def join(self, own: list[str]) -> list[tuple[int, int, int, int, bool]]:
-        """(item, first and last piece of the passage, equal slots, copy) per pair whose windows join."""
+    def join(self, own: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, text's pieces as numbers, places of shared grams) per item of which enough words begin a gram of the text."""
         get = self.vocabulary.get
         raw = np.array([get(p, -1) for p in own], dtype=np.int64)
-        if len(raw) < WINDOW or not len(self.hashes):
+        if len(raw) < GRAM or not len(self.gram):
             return []
-        unknown = np.zeros(len(raw), dtype=bool)
-        for i in np.flatnonzero(raw < 0).tolist():
-            unknown[i] = not own[i].isalpha()
-        h = self.hash(self.canonical(raw, unknown))
-        lo = np.searchsorted(self.hashes, h, "left")
-        hits = np.searchsorted(self.hashes, h, "right") - lo
+        h = self.grams(raw)
+        lo = np.searchsorted(self.gram, h, "left")
+        hits = np.searchsorted(self.gram, h, "right") - lo
+        hits[raw[: len(h)] < 0] = 0
         if not hits.any():
             return []
         at = np.repeat(np.arange(len(h)), hits)
         row = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-        window = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[at]
-        same = (window == self.raw[row]) & self.slot[row]
-        equal = same.sum(1)
-        good = equal > 0
-        out = []
-        keep, at_g, row_g, same_g = np.flatnonzero(good), at[good], row[good], same[good]
-        if len(keep):
-            item = self.item[row_g]
-            for i in np.unique(item).tolist():
-                mine = item == i
-                pos, place, eq = at_g[mine], self.place[row_g[mine]], same_g[mine]
-                # Windows are taken together while neither text moves on by more than an item's length.
-                order = np.argsort(pos, kind="stable")
-                pos, place, eq = pos[order], place[order], eq[order]
-                cut = np.flatnonzero(np.diff(pos) > 60) + 1
-                for p, q, e in zip(np.split(pos, cut), np.split(place, cut), np.split(eq, cut), strict=True):
-                    slots = len(np.unique((q[:, None] + np.arange(WINDOW))[e]))
-                    if slots >= SLOTS:
-                        out.append((i, int(p[0]), int(p[-1]) + WINDOW, slots, True))
+        enough = np.bincount(self.gram_item[np.unique(row)], minlength=len(self.ids)) >= SHARED
+        return [(i, raw, at[self.gram_item[row] == i]) for i in np.flatnonzero(enough).tolist()]
+
+    @staticmethod
+    def grams(raw: np.ndarray) -> np.ndarray:
+        """A number of each GRAM consecutive pieces."""
+        n = max(0, len(raw) - GRAM + 1)
+        out = np.zeros(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(GRAM):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + (raw[j : j + n] + 2).astype(np.uint64)
         return out
 
     def reparameterised(self, own: list[str]) -> list[tuple[int, int]]:
@@ -189,6 +195,17 @@ class Items:
         return list(best.items())
 
 
+def regions(at: np.ndarray, word: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """(first, last piece) of the parts of a text that can hold a passage of an item of `words` words, given the places of shared grams."""
+    wide = words + int(EDITS * words) + GRAM
+    at = np.unique(at)
+    out = []
+    for part in np.split(at, np.flatnonzero(np.diff(word[at]) > wide) + 1):
+        a, b = np.searchsorted(word, word[part[0]] - wide, "left"), np.searchsorted(word, word[part[-1]] + wide, "right")
+        out.append((int(a), int(b)))
+    return out
+
+
 def measure(item: list[str], word: np.ndarray, passage: list[str]) -> tuple[int, int, int]:
     """(longest run of whole item words, words and edits of the longest span with at most EDITS edits a word)."""
     blocks = [b for b in SequenceMatcher(None, item, passage, autojunk=False).get_matching_blocks() if b.size]
@@ -231,8 +248,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
     """
     spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in items.select(item, text).dropna().dropDuplicates().orderBy(item, text).collect()]
-    frequency = Counter(p for _, t in rows for p in set(pieces(body(t))))
-    phrasing = {p for p, n in frequency.items() if p.isalpha() and n >= max(2, PHRASING * len(rows))}
+    bodies = {tuple(pieces(body(t))) for _, t in rows}
+    frequency = Counter(p for b in bodies for p in set(b))
+    phrasing = {p for p, n in frequency.items() if p.isalpha() and n >= max(2, PHRASING * len(bodies))}
     kinds, item_kinds = dict(documents.dtypes), dict(items.dtypes)
     schema = f"`{doc}` {kinds[doc]}, `{item}` {item_kinds[item]}, run int, words int, edits int, kind string"
     found = None
@@ -248,12 +266,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                         continue
                     own = pieces(t)
                     best: dict[int, tuple] = {}
-                    for i, first, last, _, _ in block.join(own):
-                        length = len(block.pieces[i])
-                        run, words, edits = measure(block.pieces[i], block.word[i], own[max(0, first - length) : last + length])
-                        kind = "exact" if run >= EXACT else "altered" if words >= ALTERED else None
-                        if kind and (i not in best or best[i][0] < run):
-                            best[i] = (run, words, edits, kind)
+                    joined = block.join(own)
+                    owner = word_numbers(t) if joined else None
+                    for i, raw, at in joined:
+                        for a, z in regions(at, owner, int(block.word[i][-1]) + 1):
+                            run, words, edits = measure(block.pieces[i], block.word[i], own[a:z])
+                            kind = "exact" if run >= EXACT else "altered" if words >= ALTERED else None
+                            if kind and (i not in best or best[i][0] < run):
+                                best[i] = (run, words, edits, kind)
                     if renamed:
                         for i, slots in block.reparameterised(own):
                             best.setdefault(i, (0, slots, 0, "renamed"))

@@ -63,6 +63,16 @@ def test_leaks(spark):
     assert leaked(spark, [OTHER.split("\n")[1]]) == {(0, 2): "exact"}
 
 
+def test_every_exact_run_reaches_the_check(spark):
+    words = BODY.split()
+    runs = [" ".join(words[i : i + 15]) for i in range(len(words) - 14)]
+    got = leaked(spark, ["so: " + r + " end" for r in runs])
+    assert all(got.get((i, 1)) == "exact" for i in range(len(runs)))
+    copies = spark.createDataFrame([(i, ITEM) for i in range(20)], "item_id long, text string")
+    d = spark.createDataFrame([(0, runs[4])], "doc_id long, text string")
+    assert {r["item_id"] for r in leakage.leaks(d, copies).collect()} == set(range(20))
+
+
 PROSE = "The old record was never removed from graph, so both are read twice. We should not ship this until it is gone, and that is why the report looks wrong."
 TABLE = "\n".join(f"src/query/node/file_{i}.py;{i * 7};{i * 911}" for i in range(12))
 SALAD = "vector origin kernel notice queue config marker draft memory render report layer session harbor extract ingest search factor pointer parcel digest vertex scanner grain"
