@@ -4,7 +4,7 @@
 2. Grams of GRAM raw pieces at the words of the items are hash-joined with those of the documents; every task holds the
    items'. A pair of which SHARED of the item's words begin a shared gram is measured: no passage within the limits has
    fewer, whatever its words, so nothing is lost before the exact check.
-3. The exact check aligns the passage with the item and measures it in the item's words.
+3. The exact check aligns the passage with the item in words, by the fewest edits.
 
 For re-parameterised questions, pieces are canonicalised: a piece found in many distinct items is phrasing and stays
 itself; any other piece becomes a typed placeholder, a value (it has a digit) or a name. Units stay phrasing. Windows of
@@ -19,7 +19,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -206,27 +205,51 @@ def regions(at: np.ndarray, word: np.ndarray, words: int) -> list[tuple[int, int
     return out
 
 
-def measure(item: list[str], word: np.ndarray, passage: list[str]) -> tuple[int, int, int]:
-    """(longest run of whole item words, words and edits of the longest span with at most EDITS edits a word)."""
-    blocks = [b for b in SequenceMatcher(None, item, passage, autojunk=False).get_matching_blocks() if b.size]
-    size = np.bincount(word)
-    longest, spans = 0, []
-    for b in blocks:
-        held = np.bincount(word[b.a : b.a + b.size], minlength=len(size))
-        whole = np.flatnonzero((held == size) & (size > 0))
-        if len(whole):
-            longest = max(longest, len(whole))
-            spans.append((int(whole[0]), int(whole[-1]) + 1, b.b, b.b + b.size))
-    best = (0, 0)
-    for i in range(len(spans)):
-        edits = 0
-        for j in range(i, len(spans)):
-            if j > i:
-                # Pieces that were added count as words only beyond those they stand for; an item word has about 1.4 pieces.
-                edits += max(spans[j][0] - spans[j - 1][1], round((spans[j][2] - spans[j - 1][3]) / 2) if spans[j][0] > spans[j - 1][1] else min(spans[j][2] - spans[j - 1][3], 99))
-            words = spans[j][1] - spans[i][0]
-            if edits <= EDITS * words and words > best[0]:
-                best = (words, edits)
+def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.ndarray) -> tuple[int, int, int]:
+    """(longest run of whole item words, words and edits of the longest span of ALTERED words or more with at most EDITS edits a word).
+
+    `word` and `owner` number the words that the pieces of the item and of the passage belong to. The edits are the fewest
+    words changed, dropped or added; an item word is kept if all of its pieces follow one another, however the passage
+    spaces them. The spans from all first words are aligned at once, a row an item word.
+    """
+    first = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(item))
+    n, m = len(first) - 1, len(passage)
+    begin = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
+    end = np.append(begin[1:], m)
+    w = (owner - owner[0]).astype(np.int32)
+    starts = max(0, n - ALTERED + 1)
+    cost = np.zeros((starts, m + 1), dtype=np.int32)
+    run = np.zeros(m + 1, dtype=np.int32)
+    longest, best = 0, (0, 0)
+    for i in range(n):
+        own = item[first[i] : first[i + 1]]
+        k = len(own)
+        if k > m:
+            same = np.zeros(0, dtype=np.int64)
+        else:
+            fits = passage[: m - k + 1] == own[0]
+            for t in range(1, k):
+                fits &= passage[t : m - k + 1 + t] == own[t]
+            same = np.flatnonzero(fits)
+        after = np.zeros(m + 1, dtype=np.int32)
+        after[same + k] = run[same] + 1
+        run = after
+        longest = max(longest, int(run.max()))
+        live = min(i + 1, starts)
+        if not live:
+            continue
+        old = cost[:live]
+        new = old + 1
+        new[:, end] = np.minimum(new[:, end], np.minimum.reduceat(old[:, :m], begin, axis=1) + 1)
+        new[:, same + k] = np.minimum(new[:, same + k], old[:, same])
+        new[:, 1:] = np.minimum(new[:, 1:], np.minimum.accumulate(new[:, :m] - w, axis=1) + w + 1)
+        cost[:live] = new
+        for a in range(min(live, i + 2 - ALTERED)):
+            words, edits = i + 1 - a, int(new[a].min())
+            if edits <= EDITS * words + 1e-9:
+                if words > best[0]:
+                    best = (words, edits)
+                break
     return longest, best[0], best[1]
 
 
@@ -270,7 +293,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                     owner = word_numbers(t) if joined else None
                     for i, raw, at in joined:
                         for a, z in regions(at, owner, int(block.word[i][-1]) + 1):
-                            run, words, edits = measure(block.pieces[i], block.word[i], own[a:z])
+                            run, words, edits = measure(block.raws[i], block.word[i], raw[a:z], owner[a:z])
                             kind = "exact" if run >= EXACT else "altered" if words >= ALTERED else None
                             if kind and (i not in best or best[i][0] < run):
                                 best[i] = (run, words, edits, kind)

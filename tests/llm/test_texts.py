@@ -73,6 +73,16 @@ def test_every_exact_run_reaches_the_check(spark):
     assert {r["item_id"] for r in leakage.leaks(d, copies).collect()} == set(range(20))
 
 
+def test_altered_passages_at_the_limits(spark):
+    words = BODY.split()[3:38]
+    ends = [w + "q" if i in (0, 12, 23, 34) else w for i, w in enumerate(words)]
+    added = [x for i, w in enumerate(words) for x in ([w, "pellor.lornor"] if i % 5 == 3 else [w])]
+    dropped = [w for i, w in enumerate(words) if i % 5 != 2]
+    changed = ["other" if i % 5 == 2 else w for i, w in enumerate(words)]
+    more = ["other" if i % 4 == 2 else w for i, w in enumerate(words)]
+    assert leaked(spark, [" ".join(x) for x in (ends, added, dropped, changed, more)]) == {(i, 1): "altered" for i in range(4)}
+
+
 PROSE = "The old record was never removed from graph, so both are read twice. We should not ship this until it is gone, and that is why the report looks wrong."
 TABLE = "\n".join(f"src/query/node/file_{i}.py;{i * 7};{i * 911}" for i in range(12))
 SALAD = "vector origin kernel notice queue config marker draft memory render report layer session harbor extract ingest search factor pointer parcel digest vertex scanner grain"
