@@ -351,8 +351,8 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     return every.join(total, "node", "left").select(F.col("node").alias("_node"), F.coalesce("b", F.lit(0.0)).alias("_betweenness"))
 
 
-def k_shortest(edges: DataFrame, start: object, goal: object, k: int, longest: int = 12) -> DataFrame:
-    """(rank, length, path) of the k shortest loopless paths of at most `longest` edges, ties by the path's nodes.
+def k_shortest(edges: DataFrame, start: object, goal: object, k: int, longest: int | None = None) -> DataFrame:
+    """(rank, length, path) of the k shortest loopless paths, of at most `longest` edges if given; ties by the path's nodes.
 
     Breadth-first over partial paths; a path that cannot be among the k shortest is not grown further, as paths of one
     length are all found before longer ones.
@@ -364,7 +364,10 @@ def k_shortest(edges: DataFrame, start: object, goal: object, k: int, longest: i
     step = checkpointed(step.join(alive.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
     front = spark.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
     found = spark.createDataFrame([], f"length int, path array<{kind}>")
-    for n in range(1, longest + 1):
+    n = 0
+    # Loopless paths end by themselves: none has more edges than the graph has nodes.
+    while longest is None or n < longest:
+        n += 1
         grown = front.join(step, front["node"] == step["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         grown = checkpointed(grown)
         if grown.isEmpty():

@@ -76,3 +76,10 @@ def test_registered_forest_joins_modules_of_one_area(spark, tmp_path):
     spark.createDataFrame(rows, "from_module string, to_module string, edges int").write.parquet(str(tmp_path / "module_edges.parquet"))
     got = {tuple(r) for r in core_queries.spanning_forest(spark, str(tmp_path)).collect()}
     assert got == {("a.x.p", "a.x.q", 2.0), ("a.x.q", "b.y.r", 1.0), ("a.x.p", "c.x.s", 1.0)}
+
+
+def test_k_shortest_of_a_long_chain(spark):
+    e = edges(spark, [(i, i + 1) for i in range(14)] + [(13, 15), (15, 14), (14, 0)])
+    whole = list(range(15))
+    assert [tuple(r) for r in graph.k_shortest(e, 0, 14, 3).collect()] == [(1, 14, whole), (2, 15, whole[:-1] + [15, 14])]
+    assert graph.k_shortest(e, 0, 14, 3, 12).count() == 0
