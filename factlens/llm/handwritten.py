@@ -4,7 +4,9 @@ Evidence of a file: its path is covered by a generated path of its repository; i
 that it is a third party's; its path lies in a folder for third-party code; its code is minified; it is data held as
 code; its code repeats one line shape. Evidence of the whole corpus: token streams, without comments and layout and with numbers as one
 token, are fingerprinted by winnowing (of every WINDOW consecutive hashes of GRAM tokens, the least), and a file whose
-fingerprints largely recur under many unrelated owners is a vendored copy, whatever its path or comments say.
+fingerprints largely recur under many unrelated owners is a vendored copy, whatever its path or comments say. Fingerprints
+that several different files of one owner share are idioms of the language and do not count. A file of few fingerprints
+is a copy if its whole token stream recurs.
 """
 
 from __future__ import annotations
@@ -12,14 +14,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a hash, hashes of a window, fewest fingerprints to judge, owners that make a fingerprint common, share of common ones.
-GRAM, WINDOW, FEWEST, OWNERS, SHARE = 64, 16, 8, 3, 0.7
+#: Tokens of a hash, hashes of a window, fingerprints below which the whole stream is judged, owners that make one common, share of common ones.
+GRAM, WINDOW, FEWEST, OWNERS, SHARE = 16, 8, 8, 3, 0.5
+#: Different files an owner has of a fingerprint, on average, above which it is an idiom.
+SPREAD = 1.5
 #: Pattern rows up to which they are broadcast (a path pattern is far below a kilobyte).
 BROADCAST_PATTERNS = 100_000
 
@@ -138,8 +143,13 @@ def winnow(ids: np.ndarray) -> np.ndarray:
     return np.unique(low).view(np.int64)
 
 
-def evidence(text: str) -> tuple[bool, bool, bool, bool, bool, np.ndarray]:
-    """(tool, third, minified, data, repeated, fingerprints) of one text."""
+def whole(ids: np.ndarray) -> int | None:
+    """A number of a whole token stream; one shorter than GRAM has none."""
+    return int.from_bytes(blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True) if len(ids) >= GRAM else None
+
+
+def evidence(text: str) -> tuple[bool, bool, bool, bool, bool, np.ndarray, int | None]:
+    """(tool, third, minified, data, repeated, fingerprints, whole stream) of one text."""
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     tool = third = False
     comments: list[str] = []
@@ -199,11 +209,12 @@ def evidence(text: str) -> tuple[bool, bool, bool, bool, bool, np.ndarray]:
             shapes[k] = shapes.get(k, 0) + 1
     if total >= 8 and shapes:
         repeated = max(shapes.values()) >= 0.45 * total
-    return tool, third, minified, data, repeated, winnow(token_ids(tokens))
+    ids = token_ids(tokens)
+    return tool, third, minified, data, repeated, winnow(ids), whole(ids)
 
 
 def judged(sources: DataFrame) -> DataFrame:
-    """(file_id, owner, covered, tool, third, folder, minified, data, repeated, prints) per file.
+    """(file_id, owner, covered, tool, third, folder, minified, data, repeated, prints, stream) per file.
 
     `sources` has file_id, path, repo, patterns (array of the repo's generated paths) and content (not null).
     """
@@ -213,32 +224,36 @@ def judged(sources: DataFrame) -> DataFrame:
             rows = []
             paths, patterns = b.column("path").to_pylist(), b.column("patterns").to_pylist()
             for path, pats, text in zip(paths, patterns, (x.as_py() for x in b.column("content")), strict=True):
-                tool, third, minified, data, repeated, prints = evidence(text)
+                tool, third, minified, data, repeated, prints, stream = evidence(text)
                 folder = path is not None and FOLDERS.search(path.replace("\\", "/")) is not None
-                rows.append((covered(path, pats), tool, third, folder, minified, data, repeated, prints))
+                rows.append((covered(path, pats), tool, third, folder, minified, data, repeated, prints, stream))
             flags = [pa.array([r[i] for r in rows], pa.bool_()) for i in range(7)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("file_id"), b.column("owner"), *flags, pa.array([r[7] for r in rows], pa.list_(pa.int64()))],
-                names=["file_id", "owner", "covered", "tool", "third", "folder", "minified", "data", "repeated", "prints"],
+                [b.column("file_id"), b.column("owner"), *flags, pa.array([r[7] for r in rows], pa.list_(pa.int64())), pa.array([r[8] for r in rows], pa.int64())],
+                names=["file_id", "owner", "covered", "tool", "third", "folder", "minified", "data", "repeated", "prints", "stream"],
             )
 
     owner = F.xxhash64(F.split(F.coalesce("repo", F.lit("")), "/")[0]).alias("owner")
     return sources.select("file_id", "path", owner, "patterns", "content").mapInArrow(
-        op, "file_id long, owner long, covered boolean, tool boolean, third boolean, folder boolean, minified boolean, data boolean, repeated boolean, prints array<long>"
+        op, "file_id long, owner long, covered boolean, tool boolean, third boolean, folder boolean, minified boolean, data boolean, repeated boolean, prints array<long>, stream long"
     )
 
 
 def copied(judgements: DataFrame) -> DataFrame:
-    """(file_id): files of at least FEWEST fingerprints, SHARE of which occur under at least OWNERS owners.
+    """(file_id): files of at least FEWEST fingerprints, SHARE of which occur under at least OWNERS owners and are no idiom; of fewer, files whose whole stream does.
 
-    Owners are counted after map-side reduction to distinct (fingerprint, owner), so a fingerprint found in a third of
-    all files is a few rows per task.
+    Files of an owner with equal streams count once. Fingerprints are counted per owner with map-side reduction, so one
+    found in a third of all files is a few rows per task.
     """
-    prints = judgements.select("file_id", "owner", F.explode("prints").alias("print"))
-    common = prints.select("print", "owner").distinct().groupBy("print").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("print")
-    hits = prints.select("file_id", "print").join(common, "print").groupBy("file_id").agg(F.count("*").alias("hits"))
-    sizes = judgements.select("file_id", F.size("prints").alias("size")).where(F.col("size") >= FEWEST)
-    return hits.join(sizes, "file_id").where(F.col("hits") >= F.col("size") * F.lit(SHARE)).select("file_id")
+    kept = judgements.where("stream is not null")
+    once = kept.groupBy("owner", "stream").agg(F.first("prints").alias("prints"))
+    common = once.select("owner", F.explode("prints").alias("print")).groupBy("print", "owner").agg(F.count("*").alias("n"))
+    common = common.groupBy("print").agg(F.count("*").alias("owners"), F.sum("n").alias("n")).where((F.col("owners") >= OWNERS) & (F.col("n") <= F.col("owners") * F.lit(SPREAD))).select("print")
+    prints = kept.where(F.size("prints") >= FEWEST).select("file_id", F.size("prints").alias("size"), F.explode("prints").alias("print"))
+    hits = prints.join(common, "print").groupBy("file_id", "size").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("size") * F.lit(SHARE))
+    short = kept.where(F.size("prints") < FEWEST)
+    streams = short.select("stream", "owner").distinct().groupBy("stream").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("stream")
+    return hits.select("file_id").union(short.join(streams, "stream", "left_semi").select("file_id"))
 
 
 def not_handwritten(sources: DataFrame, config: DataFrame) -> DataFrame:

@@ -137,3 +137,16 @@ def test_copies_across_owners(spark):
     rows = [(i, f"src/{i}.py", f"owner{i}/r", code) for i in range(3)] + [(9, "src/z.py", "owner0/q", own), (10, None, None, own[:50])]
     got = handwritten.judged(spark.createDataFrame(rows, "file_id long, path string, repo string, content string").selectExpr("*", "array('gen/*', null) as patterns"))
     assert sorted(r[0] for r in handwritten.copied(got).collect()) == [0, 1, 2]
+
+
+def test_edited_and_short_copies_across_owners(spark):
+    def code(edit):
+        tokens = [f"name_{i}" for i in range(600)]
+        return "\n".join(" ".join(f"renamed_{edit}_{i}" if i % 60 == 7 * edit else t for i, t in enumerate(tokens[a : a + 10], a)) for a in range(0, 600, 10))
+
+    short = "def first(a, b):\n    return second(a) + third(b) * 2\n\ndef fourth():\n    pass\n"
+    rows = [(i, f"src/{i}.py", f"owner{i}/r", code(i)) for i in range(5)] + [(10 + i, f"lib/{i}.py", f"owner{i}/r", short) for i in range(3)]
+    idiom = " ".join(f"common_{i}" for i in range(90))
+    rows += [(100 + 10 * i + j, f"app/{j}.py", f"owner{i}/r", idiom + f" own_{i}_{j}") for i in range(4) for j in range(5)]
+    got = handwritten.judged(spark.createDataFrame(rows, "file_id long, path string, repo string, content string").selectExpr("*", "array() as patterns"))
+    assert sorted(r[0] for r in handwritten.copied(got).collect()) == [0, 1, 2, 3, 4, 10, 11, 12]
