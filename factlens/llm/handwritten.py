@@ -4,9 +4,9 @@ Evidence of a file: its path is covered by a generated path of its repository; i
 that it is a third party's; its path lies in a folder for third-party code; its code is minified; it is data held as
 code; its code repeats one line shape. Evidence of the whole corpus: token streams, without comments and layout and with numbers as one
 token, are fingerprinted by winnowing (of every WINDOW consecutive hashes of GRAM tokens, the least), and a file whose
-fingerprints largely recur under many unrelated owners is a vendored copy, whatever its path or comments say. Fingerprints
-that several different files of one owner share are idioms of the language and do not count. A file of few fingerprints
-is a copy if its whole token stream recurs.
+fingerprints largely recur together, as one file, under unrelated owners is a vendored copy, whatever its path or comments
+say. Fingerprints shared with ever other files are idioms of the language. A file of few fingerprints is a copy if its whole
+token stream recurs.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a hash, hashes of a window, fingerprints below which the whole stream is judged, owners that make one common, share of common ones.
-GRAM, WINDOW, FEWEST, OWNERS, SHARE = 16, 8, 8, 3, 0.5
-#: Different files an owner has of a fingerprint, on average, above which it is an idiom.
+from factlens.session import written
+
+#: Tokens of a hash, hashes of a window, fingerprints below which the whole stream is judged, owners of a copied file, share of fingerprints that name one leader.
+GRAM, WINDOW, FEWEST, OWNERS, SHARE = 16, 8, 8, 3, 0.4
+#: Different copies an owner has of one file, on average, above which it is boilerplate.
 SPREAD = 1.5
+#: Most fingerprints that are joined by broadcast: each has over one in HOT of all rows.
+HOT = 10_000
 #: Pattern rows up to which they are broadcast (a path pattern is far below a kilobyte).
 BROADCAST_PATTERNS = 100_000
 
@@ -240,20 +244,38 @@ def judged(sources: DataFrame) -> DataFrame:
 
 
 def copied(judgements: DataFrame) -> DataFrame:
-    """(file_id): files of at least FEWEST fingerprints, SHARE of which occur under at least OWNERS owners and are no idiom; of fewer, files whose whole stream does.
+    """(file_id): files that recur as a whole under unrelated owners, told by their fingerprints alone.
+
+    Each fingerprint found under two owners or more names a leader, the least file by (told as third-party, hash) that has it.
+    A file is a copy of a leader if at least FEWEST fingerprints, and SHARE of the file's and of the leader's own, name
+    it: idioms of a language name ever other leaders. The copies count if OWNERS owners have them, or two where the leader
+    is told as third-party by its comments or folder; with over SPREAD different ones an owner they are boilerplate. A file of
+    fewer fingerprints is a copy if its whole stream recurs under OWNERS owners.
 
-    Files of an owner with equal streams count once. Fingerprints are counted per owner with map-side reduction, so one
-    found in a third of all files is a few rows per task.
+    Leaders come from one aggregation with map-side reduction; the fingerprints with over one in HOT of all rows, HOT at
+    most, are joined by broadcast, so that none is a task of its own.
     """
-    kept = judgements.where("stream is not null")
-    once = kept.groupBy("owner", "stream").agg(F.first("prints").alias("prints"))
-    common = once.select("owner", F.explode("prints").alias("print")).groupBy("print", "owner").agg(F.count("*").alias("n"))
-    common = common.groupBy("print").agg(F.count("*").alias("owners"), F.sum("n").alias("n")).where((F.col("owners") >= OWNERS) & (F.col("n") <= F.col("owners") * F.lit(SPREAD))).select("print")
-    prints = kept.where(F.size("prints") >= FEWEST).select("file_id", F.size("prints").alias("size"), F.explode("prints").alias("print"))
-    hits = prints.join(common, "print").groupBy("file_id", "size").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.col("size") * F.lit(SHARE))
+    mark = F.xxhash64("owner", "stream").bitwiseAND(F.lit((1 << 63) - 1))
+    # Equal streams of one owner share a number; its sign puts files told as third-party first.
+    kept = judgements.where("stream is not null").withColumn("f", F.when(F.col("third") | F.col("folder"), mark - F.lit((1 << 63) - 1) - 1).otherwise(mark))
+    long = kept.where(F.size("prints") >= FEWEST)
+    lead = long.select("f", "owner", F.explode("prints").alias("print")).groupBy("print").agg(F.min("f").alias("leader"), F.min("owner").alias("_a"), F.max("owner").alias("_b"), F.count("*").alias("n"))
+    lead = written(lead.where("_a <> _b").select("print", "leader", "n"), "handwritten-leaders")
+    total = lead.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > F.lit(total // HOT)
+    many, few = F.broadcast(lead.where(hot).select("print", "leader")), lead.where(~hot).select("print", "leader")
+    named = long.select("file_id", F.explode("prints").alias("print"))
+    counts = lambda side: named.join(side, "print").groupBy("file_id", "leader").agg(F.count("*").alias("hits"))
+    hits = counts(many).unionByName(counts(few)).groupBy("file_id", "leader").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= FEWEST)
+    enough = hits.join(long.select("file_id", "f", "owner", F.size("prints").alias("size")), "file_id").where(F.col("hits") >= F.col("size") * F.lit(SHARE))
+    sizes = long.select(F.col("f").alias("leader"), F.size("prints").alias("whole")).distinct()
+    members = written(enough.join(sizes, "leader").where(F.col("hits") >= F.col("whole") * F.lit(SHARE)).select("file_id", "f", "owner", "leader"), "handwritten-copies")
+    spread = members.groupBy("leader", "owner").agg(F.countDistinct("f").alias("n")).groupBy("leader").agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
+    spread = spread.where((F.col("n") <= F.col("owners") * F.lit(SPREAD)) & ((F.col("owners") >= OWNERS) | ((F.col("leader") < 0) & (F.col("owners") >= 2))))
+    found = members.join(spread.select("leader"), "leader", "left_semi").select("file_id")
     short = kept.where(F.size("prints") < FEWEST)
     streams = short.select("stream", "owner").distinct().groupBy("stream").agg(F.count("*").alias("owners")).where(F.col("owners") >= OWNERS).select("stream")
-    return hits.select("file_id").union(short.join(streams, "stream", "left_semi").select("file_id"))
+    return found.union(short.join(streams, "stream", "left_semi").select("file_id")).distinct()
 
 
 def not_handwritten(sources: DataFrame, config: DataFrame) -> DataFrame:
@@ -262,8 +284,6 @@ def not_handwritten(sources: DataFrame, config: DataFrame) -> DataFrame:
     `sources` has file_id (unique), path, repo and content (not null), `config` repo and generated_path (null and blank patterns cover
     nothing; a null repo has none). A null path is in no folder and covered by nothing.
     """
-    from factlens.session import written
-
     patterns = config.where("repo is not null and generated_path is not null").groupBy("repo").agg(F.collect_set("generated_path").alias("patterns"))
     if config.count() <= BROADCAST_PATTERNS:
         patterns = F.broadcast(patterns)
