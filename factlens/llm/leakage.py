@@ -7,8 +7,8 @@
 3. The exact check aligns the passage with the item in words, by the fewest edits.
 
 For re-parameterised questions, pieces are canonicalised: a piece found in many distinct items is phrasing and stays
-itself; any other piece becomes a typed placeholder, a value (it has a digit) or a name. Units stay phrasing. Windows of
-WINDOW canonical pieces are joined, and a text that follows a template with one renaming of its slots is such a question.
+itself; any other piece becomes a typed placeholder, a value (it has a digit), a unit (of UNITS, phrasing or not) or a name.
+Windows of WINDOW canonical pieces are joined, and a text that follows a template with one renaming of its slots is such a question.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Canonical pieces of a window, share of distinct items that makes a piece phrasing.
 WINDOW, PHRASING = 5, 0.04
@@ -35,6 +36,9 @@ EXACT, ALTERED, EDITS = 15, 35, 0.2
 GRAM = 3
 SHARED = min(EXACT - GRAM + 1, ALTERED - GRAM + 1 - GRAM * int(EDITS * ALTERED))
 
+#: Words that measure a number.
+UNITS = frozenset("ns us ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years percent b kb mb gb tb kib mib gib bit bits byte bytes px mm cm m km g kg hz khz mhz ghz usd eur dollars euros line lines file files row rows point points time times item items".split())
+
 MARKUP = re.compile(r"<!--[\s\S]*?-->|</?[A-Za-z][^<>\n]{0,200}>")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 PIECE = re.compile(r"[^\W_]+")
@@ -69,61 +73,60 @@ def body(text: str) -> str:
 
 @dataclass
 class Items:
-    """A block of items with the join table of their canonical windows."""
+    """A block of items with the join tables of their raw grams and canonical windows; items of one body are one entry."""
 
-    ids: list[int] = field(default_factory=list)
-    pieces: list[list[str]] = field(default_factory=list)
+    ids: list[list[int]] = field(default_factory=list)
+    raws: list[np.ndarray] = field(default_factory=list)
     word: list[np.ndarray] = field(default_factory=list)
+    vocabulary: dict[str, int] = field(default_factory=dict)
+    entry: dict[bytes, int] = field(default_factory=dict)
 
     def add(self, item_id: int, text: str) -> None:
         """Adds an item; `word` holds the number of the item's own word that each piece belongs to."""
-        own, word, n = [], [], 0
+        raw, word, n = [], [], 0
         for w in plain(body(text)).split():
             got = PIECE.findall(w)
             if got:
-                own += got
+                raw += [self.vocabulary.setdefault(p, len(self.vocabulary)) for p in got]
                 word += [n] * len(got)
                 n += 1
-        if own:
-            self.ids.append(item_id)
-            self.pieces.append(own)
-            self.word.append(np.array(word))
+        if not raw:
+            return
+        own, words = np.array(raw, dtype=np.int64), np.array(word)
+        at = self.entry.setdefault(own.tobytes() + words.tobytes(), len(self.ids))
+        if at == len(self.ids):
+            self.ids.append([])
+            self.raws.append(own)
+            self.word.append(words)
+        self.ids[at].append(item_id)
 
     def seal(self, phrasing: set[str]) -> None:
-        """Builds the vocabulary and the sorted window table."""
-        self.vocabulary: dict[str, int] = {}
-        for own in self.pieces:
-            for p in own:
-                self.vocabulary.setdefault(p, len(self.vocabulary))
-        self.stock = np.array([p in phrasing for p in self.vocabulary], dtype=bool)
-        self.digit = np.array([not p.isalpha() for p in self.vocabulary], dtype=bool)
-        hashes, items, places, raws = [], [], [], []
-        for i, own in enumerate(self.pieces):
-            raw = np.array([self.vocabulary[p] for p in own], dtype=np.int64)
-            h = self.hash(self.canonical(raw, np.zeros(len(raw), dtype=bool)))
-            hashes.append(h)
-            items.append(np.full(len(h), i))
-            places.append(np.arange(len(h)))
-            raws.append(raw)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+        """Builds the sorted gram and window tables."""
+        self.entry = {}
+        self.names = list(self.vocabulary)
+        self.kind = np.array([kind(p) for p in self.names], dtype=np.int64)
+        self.stock = np.array([p in phrasing and p not in UNITS for p in self.names], dtype=bool)
+        empty = np.zeros(0, dtype=np.int64)
+        joined = lambda xs: np.concatenate(xs) if xs else empty
+        hashes = [self.hash(self.canonical(r, np.zeros(len(r), dtype=np.int64))) for r in self.raws]
+        h = joined(hashes).astype(np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
-        self.item = np.concatenate(items)[order] if items else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(places)[order] if items else np.zeros(0, dtype=np.int64)
-        self.raws = raws
+        self.item = joined([np.full(len(x), i) for i, x in enumerate(hashes)])[order]
+        self.place = joined([np.arange(len(x)) for x in hashes])[order]
         begins = [np.flatnonzero(np.diff(w, prepend=-1)) for w in self.word]
-        grams = [self.grams(r)[b[b <= len(r) - GRAM]] for r, b in zip(raws, begins, strict=True)]
-        g = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
+        begins = [b[b <= len(r) - GRAM] for r, b in zip(self.raws, begins, strict=True)]
+        g = joined([self.grams(r)[b] for r, b in zip(self.raws, begins, strict=True)]).astype(np.uint64)
         order = np.argsort(g, kind="stable")
         self.gram = g[order]
-        self.gram_item = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[order] if grams else np.zeros(0, dtype=np.int64)
+        self.gram_item = joined([np.full(len(b), i) for i, b in enumerate(begins)])[order]
+        self.gram_place = joined(begins)[order]
 
-    def canonical(self, raw: np.ndarray, unknown_digit: np.ndarray) -> np.ndarray:
-        """Phrasing as its number, names as 1, values as 2."""
+    def canonical(self, raw: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        """Phrasing as its number, other pieces as their placeholder; `unknown` holds it for pieces that no item has."""
         known = raw >= 0
         at = np.where(known, raw, 0)
-        value = np.where(known, self.digit[at], unknown_digit)
-        return np.where(known & self.stock[at], at + 3, np.where(value, 2, 1)).astype(np.uint64)
+        return np.where(known & self.stock[at], at + 4, np.where(known, self.kind[at], unknown)).astype(np.uint64)
 
     @staticmethod
     def hash(canonical: np.ndarray) -> np.ndarray:
@@ -140,22 +143,48 @@ class Items:
             out ^= out >> np.uint64(29)
         return out
 
-    def join(self, own: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(item, text's pieces as numbers, places of shared grams) per item of which enough words begin a gram of the text."""
+    def join(self, own: list[str]) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """The text's pieces as numbers, and (item, places in the text, places in the item) of the shared grams per item of which enough words begin one."""
         get = self.vocabulary.get
         raw = np.array([get(p, -1) for p in own], dtype=np.int64)
         if len(raw) < GRAM or not len(self.gram):
-            return []
+            return raw, []
         h = self.grams(raw)
         lo = np.searchsorted(self.gram, h, "left")
         hits = np.searchsorted(self.gram, h, "right") - lo
         hits[raw[: len(h)] < 0] = 0
         if not hits.any():
-            return []
+            return raw, []
         at = np.repeat(np.arange(len(h)), hits)
         row = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-        enough = np.bincount(self.gram_item[np.unique(row)], minlength=len(self.ids)) >= SHARED
-        return [(i, raw, at[self.gram_item[row] == i]) for i in np.flatnonzero(enough).tolist()]
+        of = self.gram_item[row]
+        enough = np.flatnonzero(np.bincount(self.gram_item[np.unique(row)], minlength=len(self.ids)) >= SHARED)
+        out = []
+        for i in enough.tolist():
+            mine = of == i
+            out.append((i, at[mine], self.gram_place[row[mine]]))
+        return raw, out
+
+    def leak(self, i: int, raw: np.ndarray, owner: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[int, int, int, str] | None:
+        """(run, words, edits, kind) of an item in a text, given its shared grams; None if there is no passage within the limits."""
+        own, word = self.raws[i], self.word[i]
+        run = longest_run(own, word, raw, at, place)
+        if run >= EXACT:
+            return run, run, 0, "exact"
+        best = (0, 0)
+        count = int(word[-1]) + 1
+        for a, z, lo, hi in narrowed(word[place], at, owner, 0, count):
+            passage = raw[a:z]
+            # Of a passage of L item words L * (1 - EDITS) are kept, so all of their pieces occur.
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            held = np.logical_and.reduceat(np.isin(own, passage), first)
+            span = windows(held[lo:hi], 1 - EDITS, 0)
+            if span is None:
+                continue
+            x, y = np.searchsorted(word, [lo + span[0], lo + span[1]])
+            got = measure(own[x:y], word[x:y] - word[x], passage, owner[a:z])
+            best = max(best, got)
+        return (run, *best, "altered") if best[0] >= ALTERED else None
 
     @staticmethod
     def grams(raw: np.ndarray) -> np.ndarray:
@@ -167,33 +196,42 @@ class Items:
                 out = out * np.uint64(0x9E3779B97F4A7C15) + (raw[j : j + n] + 2).astype(np.uint64)
         return out
 
-    def reparameterised(self, own: list[str]) -> list[tuple[int, int]]:
-        """(item, slots): items whose template the text follows over ALTERED pieces with a one-to-one renaming of slots."""
-        get = self.vocabulary.get
-        raw = np.array([get(p, -1) for p in own], dtype=np.int64)
-        unknown = np.array([r < 0 and not p.isalpha() for r, p in zip(raw, own, strict=True)], dtype=bool)
-        h = self.hash(self.canonical(raw, unknown)) if len(raw) >= WINDOW else np.zeros(0, dtype=np.uint64)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        runs: dict[tuple[int, int], list[int]] = {}
-        for p in np.flatnonzero(hi > lo).tolist():
-            for r in range(lo[p], hi[p]):
-                runs.setdefault((int(self.item[r]), p - int(self.place[r])), []).append(p)
+    def reparameterised(self, own: list[str], raw: np.ndarray) -> list[tuple[int, int]]:
+        """(item, slots): items whose template the text follows over ALTERED pieces or more with a one-to-one renaming of slots."""
+        unknown = np.array([0 if r >= 0 else kind(p) for r, p in zip(raw.tolist(), own, strict=True)], dtype=np.int64)
+        h = self.hash(self.canonical(raw, unknown))
+        lo = np.searchsorted(self.hashes, h, "left")
+        hits = np.searchsorted(self.hashes, h, "right") - lo
+        if not hits.any():
+            return []
+        at = np.repeat(np.arange(len(h)), hits)
+        row = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+        item, shift = self.item[row], at - self.place[row]
+        order = np.lexsort((at, shift, item))
+        item, shift, at = item[order], shift[order], at[order]
+        cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(at) != 1)) + 1
+        first, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
         best: dict[int, int] = {}
-        for (i, shift), ps in runs.items():
-            if len(ps) + WINDOW - 1 < ALTERED or ps[-1] - ps[0] != len(ps) - 1:
-                continue
+        for x in np.flatnonzero(end - first + WINDOW - 1 >= ALTERED).tolist():
+            i, d = int(item[first[x]]), int(shift[first[x]])
             there: dict[str, str] = {}
             back: dict[str, str] = {}
             fine = True
-            for p in range(ps[0], ps[-1] + WINDOW):
-                a, b = self.pieces[i][p - shift], own[p]
-                if not self.stock[self.vocabulary[a]]:
+            for p in range(int(at[first[x]]), int(at[end[x] - 1]) + WINDOW):
+                known = int(self.raws[i][p - d])
+                a, b = self.names[known], own[p]
+                if not self.stock[known]:
                     fine = fine and there.setdefault(a, b) == b and back.setdefault(b, a) == a
-            if fine and there and any(a != b for a, b in there.items()):
+            if fine and any(a != b for a, b in there.items()):
                 best[i] = max(best.get(i, 0), len(there))
         return list(best.items())
 
 
+def kind(piece: str) -> int:
+    """The placeholder of a piece that is no phrasing: a name, a value or a unit."""
+    return 3 if piece in UNITS else 1 if piece.isalpha() else 2
+
+
 def regions(at: np.ndarray, word: np.ndarray, words: int) -> list[tuple[int, int]]:
     """(first, last piece) of the parts of a text that can hold a passage of an item of `words` words, given the places of shared grams."""
     wide = words + int(EDITS * words) + GRAM
@@ -205,8 +243,63 @@ def regions(at: np.ndarray, word: np.ndarray, words: int) -> list[tuple[int, int
     return out
 
 
-def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.ndarray) -> tuple[int, int, int]:
-    """(longest run of whole item words, words and edits of the longest span of ALTERED words or more with at most EDITS edits a word).
+def windows(held: np.ndarray, share: float, spare: float) -> tuple[int, int] | None:
+    """(first, end) of all stretches of ALTERED words or more of which `share` of the words less `spare` are held; None if there is none."""
+    n = len(held)
+    if n < ALTERED:
+        return None
+    total = np.concatenate([[0.0], np.cumsum(held - share)])
+    later = np.maximum.accumulate(total[::-1])[::-1]
+    bound = total[: n - ALTERED + 1] - spare - 1e-6
+    fits = np.flatnonzero(later[ALTERED:] >= bound)
+    if not len(fits):
+        return None
+    # `later` falls, so the last end of a start is found by bisection.
+    ends = n - np.searchsorted(later[::-1], bound[fits], "left")
+    return int(fits[0]), int(ends.max())
+
+
+def narrowed(item_word: np.ndarray, at: np.ndarray, owner: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+    """(first, end piece of the text, first, end word of the item) that can hold an altered passage, given the places of shared grams.
+
+    In a passage of L item words at least L - (GRAM - 1) - GRAM * EDITS * L begin a shared gram.
+    """
+
+    def span(words: np.ndarray, lo: int, hi: int) -> tuple[int, int] | None:
+        held = np.zeros(hi - lo)
+        held[words - lo] = 1
+        got = windows(held, 1 - GRAM * EDITS, GRAM - 1)
+        return None if got is None else (lo + got[0], lo + got[1])
+
+    whole = span(item_word, lo, hi)
+    if whole is None:
+        return []
+    inside = (item_word >= whole[0]) & (item_word < whole[1])
+    item_word, at = item_word[inside], at[inside]
+    out = []
+    for a, z in regions(at, owner, whole[1] - whole[0]):
+        here = span(item_word[(at >= a) & (at < z)], *whole)
+        if here is not None:
+            out.append((a, z, *here))
+    return out
+
+
+def longest_run(item: np.ndarray, word: np.ndarray, raw: np.ndarray, at: np.ndarray, place: np.ndarray) -> int:
+    """The most consecutive whole item words in the text, of runs that hold a shared gram."""
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    shifts, n = np.unique(at - place, return_counts=True)
+    best = 0
+    for s in shifts[n >= min(n.max(), EXACT - GRAM + 1)].tolist():
+        lo, hi = max(0, -s), min(len(item), len(raw) - s)
+        same = np.zeros(len(item), dtype=bool)
+        same[lo:hi] = item[lo:hi] == raw[lo + s : hi + s]
+        gaps = np.flatnonzero(~np.logical_and.reduceat(same, first))
+        best = max(best, int(np.diff(gaps, prepend=-1, append=len(first)).max()) - 1)
+    return best
+
+
+def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.ndarray) -> tuple[int, int]:
+    """(words, edits) of the longest span of ALTERED item words or more with at most EDITS edits a word; (0, 0) if there is none.
 
     `word` and `owner` number the words that the pieces of the item and of the passage belong to. The edits are the fewest
     words changed, dropped or added; an item word is kept if all of its pieces follow one another, however the passage
@@ -219,8 +312,7 @@ def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.n
     w = (owner - owner[0]).astype(np.int32)
     starts = max(0, n - ALTERED + 1)
     cost = np.zeros((starts, m + 1), dtype=np.int32)
-    run = np.zeros(m + 1, dtype=np.int32)
-    longest, best = 0, (0, 0)
+    best = (0, 0)
     for i in range(n):
         own = item[first[i] : first[i + 1]]
         k = len(own)
@@ -231,10 +323,6 @@ def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.n
             for t in range(1, k):
                 fits &= passage[t : m - k + 1 + t] == own[t]
             same = np.flatnonzero(fits)
-        after = np.zeros(m + 1, dtype=np.int32)
-        after[same + k] = run[same] + 1
-        run = after
-        longest = max(longest, int(run.max()))
         live = min(i + 1, starts)
         if not live:
             continue
@@ -250,7 +338,7 @@ def measure(item: np.ndarray, word: np.ndarray, passage: np.ndarray, owner: np.n
                 if words > best[0]:
                     best = (words, edits)
                 break
-    return longest, best[0], best[1]
+    return best
 
 
 def _block(rows: list, phrasing: set[str]) -> Items:
@@ -261,24 +349,37 @@ def _block(rows: list, phrasing: set[str]) -> Items:
     return items
 
 
+def phrases(items: DataFrame, item: str, text: str) -> set[str]:
+    """Pieces of letters found in PHRASING of the distinct bodies or more, and in two: at most the pieces of 1 / PHRASING bodies."""
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [pieces(body(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in own], pa.string())], names=["body"])
+
+    bodies = items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(text).mapInArrow(op, "body string").where("body <> ''").distinct()
+    total = bodies.count()
+    found = bodies.select(F.explode(F.array_distinct(F.split("body", " "))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    return {r[0] for r in found.where(F.col("n") >= max(2, PHRASING * total)).select("piece").collect() if r[0].isalpha()}
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", renamed: bool = False) -> DataFrame:
     """(doc, item, run, words, edits, kind) per pair of a document and an item that leaked into it.
 
-    A pair is found if the document holds at least EXACT consecutive words of the item (kind `exact`), or at least
-    ALTERED with at most one in five changed, dropped or added (`altered`); with `renamed`, also if it follows the item's template with a
-    consistent renaming (`renamed`). Null and empty texts have none; an item's first line does not count; items that are
-    equal are found each. Items are held by every task in blocks of BLOCK rows (a bounded size), documents are never shuffled.
+    A pair is found if the document holds at least EXACT consecutive words of the item (kind `exact`, `words` its run), or at
+    least ALTERED with at most one in five changed, dropped or added (`altered`); with `renamed`, also if it follows the item's
+    template with a consistent renaming (`renamed`). Null and empty texts have none; an item's first line does not count; items
+    that are equal are found each. Items are held by every task in blocks of BLOCK rows (a bounded size; the driver holds one
+    block at a time, and the documents are read once a block), documents are never shuffled.
     """
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item, text).dropna().dropDuplicates().orderBy(item, text).collect()]
-    bodies = {tuple(pieces(body(t))) for _, t in rows}
-    frequency = Counter(p for b in bodies for p in set(b))
-    phrasing = {p for p, n in frequency.items() if p.isalpha() and n >= max(2, PHRASING * len(bodies))}
+    phrasing = phrases(items, item, text) if renamed else set()
     kinds, item_kinds = dict(documents.dtypes), dict(items.dtypes)
     schema = f"`{doc}` {kinds[doc]}, `{item}` {item_kinds[item]}, run int, words int, edits int, kind string"
+    rows = items.select(item, text).dropna().dropDuplicates().orderBy(text, item).toLocalIterator()
     found = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        shared = spark.sparkContext.broadcast(_block(rows[at : at + BLOCK], phrasing))
+    while (block := list(islice(rows, BLOCK))) or found is None:
+        shared = spark.sparkContext.broadcast(_block(block, phrasing))
 
         def op(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block: Items = shared.value
@@ -289,18 +390,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                         continue
                     own = pieces(t)
                     best: dict[int, tuple] = {}
-                    joined = block.join(own)
+                    raw, joined = block.join(own)
                     owner = word_numbers(t) if joined else None
-                    for i, raw, at in joined:
-                        for a, z in regions(at, owner, int(block.word[i][-1]) + 1):
-                            run, words, edits = measure(block.raws[i], block.word[i], raw[a:z], owner[a:z])
-                            kind = "exact" if run >= EXACT else "altered" if words >= ALTERED else None
-                            if kind and (i not in best or best[i][0] < run):
-                                best[i] = (run, words, edits, kind)
+                    for i, at, place in joined:
+                        if got := block.leak(i, raw, owner, at, place):
+                            best[i] = got
                     if renamed:
-                        for i, slots in block.reparameterised(own):
+                        for i, slots in block.reparameterised(own, raw) if len(raw) >= ALTERED and len(block.hashes) else ():
                             best.setdefault(i, (0, slots, 0, "renamed"))
-                    out += [(d, block.ids[i], *x) for i, x in best.items()]
+                    out += [(d, j, *x) for i, x in best.items() for j in block.ids[i]]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64() if item_kinds[item] == "bigint" else None), *[pa.array(cols[i], pa.int32()) for i in (2, 3, 4)], pa.array(cols[5], pa.string())],

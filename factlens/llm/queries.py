@@ -31,6 +31,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p8_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a re-parameterised item: its template with other names, values and units, consistently renamed."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), renamed=True)
+    return found.where("kind = 'renamed'").select("doc_id", "item_id", F.col("words").alias("slots")).distinct()
+
+
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics and the learned type of every document."""
     return quality.quality(table(spark, sf_dir, "documents"))
@@ -93,7 +99,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
-    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_quality": p9_quality}
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_quality": p9_quality}
 
 ORACLE = {
     "p3_found": """

@@ -66,6 +66,20 @@ def test_leaks(spark):
     assert leaked(spark, [OTHER.split("\n")[1]]) == {(0, 2): "exact"}
 
 
+def test_reparameterised_items_need_one_renaming(spark):
+    body = OTHER.split("\n")[1]
+    swap = {"lupa": "zeta", "meta": "eta", "77": "12", "nona": "xi", "deka": "nu", "aa11bb": "09ff", "quux": "om", "corge": "psi", "fred": "chi", "waldo": "tau", "points": "rows"}
+    renamed = "".join(swap.get(p, p) for p in re.split(r"(\w+)", body))
+    twice = body + " Then lupa.meta pulls 77 symbols out of nona.deka again."
+    items = [(1, "Answer.\n" + twice), (2, ITEM), (3, "Say.\n" + "Then he pulls it out of there again. The module pulls on every weekly pass and after revision the layer between them rose from one to two.")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    same = "".join(swap.get(p, p) for p in re.split(r"(\w+)", twice))
+    docs = [same, renamed, same[:-40] + same[-40:].replace("zeta", "alpha").replace("xi", "rho"), same.replace("Then zeta", "Then rho")]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leakage.leaks(d, items, renamed=True).collect()}
+    assert got.get((0, 1)) == "renamed" and got.get((3, 1)) != "renamed"
+
+
 def test_every_exact_run_reaches_the_check(spark):
     words = BODY.split()
     runs = [" ".join(words[i : i + 15]) for i in range(len(words) - 14)]
