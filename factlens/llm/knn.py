@@ -2,18 +2,22 @@
 
 1. Exact copies are grouped: one node per distinct vector, with its k+1 smallest ids. A group of copies of any size
    is thus one point of the search, and no pair inside it is ever listed.
-2. A tree of spherical k-means is fitted on a bounded sample (`sample` distinct vectors, those of smallest hash) and
-   broadcast: its size is bounded by the sample. Every distinct vector is then filed in its leaf, and each leaf's
-   radius (largest angle to its centre) is taken over all its vectors.
-3. Each query walks the tree with a priority queue ordered by the best cosine a branch can still hold. A first wave
-   visits the best leaves, which gives a lower bound for the k-th similarity; a second wave widens the visit to every
-   leaf whose bound, with radii scaled by a slack, beats it.
-4. The slack is calibrated: the neighbours of a bounded set of sample queries are found exactly by brute force over
-   all vectors, and the smallest slack whose visits hold the wanted recall is taken. Slack 1 is exact.
+2. A tree of spherical k-means is fitted on a bounded sample (distinct vectors of smallest hash, `sample_size` of them) and
+   broadcast: its size is bounded by the sample. Its leaves hold about LEAF vectors each, so their number grows with the
+   table. Every distinct vector is then filed in its leaf, and each leaf's radius (largest angle to its centre) is taken over all its vectors.
+3. Each query walks the tree with a priority queue ordered by the best cosine a branch can still hold, radii scaled by a
+   slack, and visits the first leaves that come out.
+4. How many it visits is calibrated: the neighbours of a bounded set of sample queries are found exactly by brute force
+   over all vectors, and the visit is widened until it holds the wanted recall. The work of a query is thus the
+   same at every size of the table, at one recall.
+5. At recall 1, and where no calibrated visit reaches the recall, a second wave widens the visit to every leaf whose bound
+   beats the k-th similarity of the first: exact, but of work that grows with the square of the table where the vectors have no clusters.
 
 Leaves are shipped in bins of about POINTS vectors: neighbouring leaves of the tree share a bin, wide leaves (which most
 queries must visit) share bins of their own, and a leaf too large for one bin is cut into several, as are the queries
-of a bin with too many; all sized from counts, so that no leaf is ever one task. A visited bin is searched whole.
+of a bin with too many; all sized from counts, so that no leaf is ever one task. A visited bin is searched whole; only where
+the sample no longer lets leaves be small (above MOST_SAMPLE / 8 leaves), a bin holds up to LARGE vectors and has a tree
+of its own, of which each query visits the nearest leaves with LOCAL vectors.
 """
 
 from __future__ import annotations
@@ -31,8 +35,14 @@ from pyspark.sql import functions as F
 
 from factlens.session import written
 
-#: Leaves visited by the first wave, points of a bin, queries of a share.
-FIRST, POINTS, QUERIES = 3, 2048, 16384
+#: Leaves visited by the first wave of an exact search, points of a leaf, of a bin and of a bin with its own tree, points visited in such a bin, queries of a share.
+FIRST, LEAF, POINTS, LARGE, LOCAL, QUERIES = 3, 1024, 2048, 65_536, 8192, 16384
+#: Bounds of the sample the tree is fitted on; between them it is one in 64 of the distinct vectors.
+LEAST_SAMPLE, MOST_SAMPLE = 20_000, 200_000
+#: Leaves tried by the calibration, and shares of the radii that order the queue.
+VISITS, SLACKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256), (0.0, 0.3, 0.5)
+#: Vectors whose copies are joined by broadcast: each has over one in HOT of all rows.
+HOT = 1000
 
 
 def pack(df: DataFrame, id_col: str, components: list[str]) -> DataFrame:
@@ -191,27 +201,65 @@ def top(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-key, axis=1)
 
 
-def _search(k: int):
+def nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, similarity) of the k best points of each query, by comparison with all."""
+    out = []
+    for at in range(0, len(q), 256):
+        sims = np.round(q[at : at + 256] @ x.T, 6)
+        best = top(sims, k)
+        out.append((np.repeat(np.arange(at, at + len(sims)), best.shape[1]), best.ravel(), np.take_along_axis(sims, best, 1).ravel()))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def nearest_local(q: np.ndarray, x: np.ndarray, k: int, points: int = LOCAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`nearest` among the points of the nearest leaves of a tree over `x`, so many leaves that they hold `points`."""
+    rng = np.random.default_rng(len(x))
+    tree = fit(x[rng.permutation(len(x))[:16_384]], 12, 16)
+    tree.prepare()
+    leaf = tree.file(x)
+    order = np.argsort(leaf, kind="stable")
+    ends = np.cumsum(np.bincount(leaf, minlength=tree.leaves))
+    size = np.diff(ends, prepend=0)
+    centre = tree.centre[tree.leaf_node]
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(q), 1024):
+        rank = np.argsort(-(q[at : at + 1024] @ centre.T), axis=1)
+        held = np.cumsum(size[rank], axis=1) - size[rank]
+        row, col = np.nonzero(held < points)
+        asked.append((row + at, rank[row, col]))
+    row, want = map(np.concatenate, zip(*asked, strict=True))
+    by = np.argsort(want, kind="stable")
+    row, want = row[by], want[by]
+    out = []
+    for part in np.split(np.arange(len(want)), np.flatnonzero(np.diff(want)) + 1):
+        v = want[part[0]]
+        mine = order[ends[v] - size[v] : ends[v]]
+        if len(mine):
+            a, b, sims = nearest(q[row[part]], x[mine], k)
+            out.append((row[part][a], mine[b], sims))
+    a, b, sims = map(np.concatenate, zip(*out, strict=True))
+    by = np.lexsort((b, -sims, a))
+    a, b, sims = a[by], b[by], sims[by]
+    start = np.flatnonzero(np.diff(a, prepend=-1))
+    keep = np.arange(len(a)) - np.repeat(start, np.diff(start, append=len(a))) < k
+    return a[keep], b[keep], sims[keep]
+
+
+def _search(k: int, whole: bool):
     def op(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"q1": [], "q2": [], "sim": [], "low": [], "ids": []})
         points = points.sort_values("low", kind="stable")
         x, low, ids = unit(points["vec"].tolist()), points["low"].to_numpy(), points["ids"].to_numpy()
         q, h1, h2 = unit(queries["vec"].tolist()), queries["h1"].to_numpy(), queries["h2"].to_numpy()
-        out = []
-        for at in range(0, len(q), 256):
-            to = min(at + 256, len(q))
-            sims = np.round(q[at:to] @ x.T, 6)
-            best = top(sims, k)
-            flat = best.ravel()
-            out.append((np.repeat(h1[at:to], best.shape[1]), np.repeat(h2[at:to], best.shape[1]), np.take_along_axis(sims, best, 1).ravel(), low[flat], ids[flat]))
-        return pd.DataFrame(dict(zip(["q1", "q2", "sim", "low", "ids"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        row, best, sims = nearest(q, x, k) if whole or len(x) <= 2 * LOCAL else nearest_local(q, x, k)
+        return pd.DataFrame({"q1": h1[row], "q2": h2[row], "sim": sims, "low": low[best], "ids": ids[best]})
 
     return op
 
 
-def bins(tree: Tree, radius: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first bin, number of bins) of each leaf; leaves of no vectors have none."""
+def bins(tree: Tree, radius: np.ndarray, size: np.ndarray, most: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of each leaf; leaves of no vectors have none, those of over `most` several."""
     order = tree.walk()
     full = size[order] > 0
     order = order[full]
@@ -224,7 +272,7 @@ def bins(tree: Tree, radius: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
             if held + size[leaf] > POINTS:
                 n, held = n + 1, 0
             first[leaf] = n
-            count[leaf] = max(1, -(-int(size[leaf]) // POINTS))
+            count[leaf] = max(1, -(-int(size[leaf]) // most))
             held += int(size[leaf])
             if count[leaf] > 1:
                 n, held = n + int(count[leaf]) - 1, POINTS + 1
@@ -234,14 +282,17 @@ def bins(tree: Tree, radius: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
 def neighbours(
     vectors: DataFrame,
     k: int = 5,
-    recall: float = 0.9999,
-    sample: int = 20_000,
+    recall: float = 0.999,
+    sample: int | None = None,
     branch: int = 12,
     leaf_sample: int = 8,
-    sample_queries: int = 200,
+    sample_queries: int = 500,
 ) -> DataFrame:
     """(id, neighbour, sim): the k most similar other ids of every id of `vectors` (id, vec from `pack`).
 
+    `recall` is the share of the true neighbours that is found, calibrated on `sample_queries` queries; 1 is exact. The tree is
+    fitted on `sample` distinct vectors, by default one in 64, LEAST_SAMPLE at least and MOST_SAMPLE at most.
+
     Similarity is the cosine rounded to 6 decimals, ties go to the smaller id. An id that comes several times counts
     once (with its greatest vector, by bytes). Fewer than k others give fewer rows; no vectors give none.
     """
@@ -258,8 +309,9 @@ def neighbours(
     total = nodes.count()
     if not total:
         return spark.createDataFrame([], "id long, neighbour long, sim double")
-    drawn = unit([bytes(r[0]) for r in nodes.orderBy("h1", "h2").select("vec").limit(sample).collect()])
-    tree = fit(drawn, branch, leaf_sample)
+    drawn = unit([bytes(r[0]) for r in nodes.orderBy("h1", "h2").select("vec").limit(sample or min(MOST_SAMPLE, max(LEAST_SAMPLE, total // 64))).collect()])
+    exact = recall >= 1
+    tree = fit(drawn, branch, leaf_sample if exact else max(leaf_sample, -(-len(drawn) * LEAF // total)))
     tree.prepare()
     shared = spark.sparkContext.broadcast(tree)
 
@@ -280,8 +332,11 @@ def neighbours(
     tree.prepare()
     shared = spark.sparkContext.broadcast(tree)
 
-    slack = _calibrated(filed, tree, k, recall, sample_queries)
-    first_bin, bin_count = bins(tree, radius, size)
+    first_bin, bin_count = bins(tree, radius, size, POINTS if exact else LARGE)
+    plan = None if exact else _calibrated(filed, tree, k, recall, sample_queries, first_bin)
+    if plan is None and not exact:
+        exact, (first_bin, bin_count) = True, bins(tree, radius, size)
+    most_leaves, order_slack = plan or (FIRST, 0.0)
 
     def visits(df: DataFrame, second: bool) -> DataFrame:
         def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,10 +352,10 @@ def neighbours(
                 for from_ in range(0, len(whole), 1024):
                     b = whole.iloc[from_ : from_ + 1024]
                     q = unit(b["vec"].tolist())
-                    got = [t.visit(x, 0.0, FIRST) for x in q]
+                    got = [t.visit(x, order_slack, most_leaves) for x in q]
                     cell = cells(np.repeat(np.arange(len(b)), [len(g) for g in got]), np.array([v for g in got for v in g], dtype=np.int64))
                     if second:
-                        cell = np.setdiff1d(cells(*t.widen_to(q, slack, b["kth"].to_numpy() - 1e-6)), cell, assume_unique=True)
+                        cell = np.setdiff1d(cells(*t.widen_to(q, 1.0, b["kth"].to_numpy() - 1e-6)), cell, assume_unique=True)
                     out = b[["h1", "h2", "vec"]].iloc[cell // most].copy()
                     out["bin"] = cell % most
                     yield out
@@ -324,35 +379,39 @@ def neighbours(
             q.select(*by, "h1", "h2", "vec")
             .groupBy(*by)
             .cogroup(p.select(*by, "vec", "low", "ids").groupBy(*by))
-            .applyInPandas(_search(k + 1), "q1 long, q2 long, sim double, low long, ids array<long>")
+            .applyInPandas(_search(k + 1, exact), "q1 long, q2 long, sim double, low long, ids array<long>")
         )
 
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("sim"), "low")
     best = lambda df: df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
     one = written(best(wave(visits(filed.select("h1", "h2", "vec"), False), "first")).drop("_n"), "knn-one")
-    held = one.groupBy("q1", "q2").agg(F.sum(F.size("ids")).alias("n"), F.min("sim").alias("kth"))
-    # A query whose first wave holds k+1 entries has a bound; one with fewer has none and visits every leaf.
-    open_ = filed.join(held, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left").select(
-        "h1", "h2", "vec", F.when(F.col("n") > k, F.col("kth")).otherwise(F.lit(-2.0)).alias("kth")
-    )
-    two = wave(visits(open_, True), "second")
-    entries = best(one.unionByName(two)).select("q1", "q2", "sim", F.explode("ids").alias("neighbour"))
+    entries = one
+    if exact:
+        held = one.groupBy("q1", "q2").agg(F.sum(F.size("ids")).alias("n"), F.min("sim").alias("kth"))
+        # A query whose first wave holds k+1 entries has a bound; one with fewer has none and visits every leaf.
+        open_ = filed.join(held, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2")), "left").select(
+            "h1", "h2", "vec", F.when(F.col("n") > k, F.col("kth")).otherwise(F.lit(-2.0)).alias("kth")
+        )
+        entries = best(one.unionByName(wave(visits(open_, True), "second")))
+    entries = entries.select("q1", "q2", "sim", F.explode("ids").alias("neighbour"))
     ranked = (
         entries.withColumn("_n", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("sim"), "neighbour")))
         .where(F.col("_n") <= k + 1)
         .groupBy("q1", "q2")
         .agg(F.sort_array(F.collect_list(F.struct("_n", "neighbour", "sim"))).alias("list"))
     )
-    listed = once.join(ranked, (F.col("h1") == F.col("q1")) & (F.col("h2") == F.col("q2"))).select(
-        "id", F.slice(F.filter("list", lambda e: e["neighbour"] != F.col("id")), 1, k).alias("list")
-    )
+    # A vector with very many copies is joined by broadcast (HOT rows at most), the others by a shuffle.
+    hot = F.broadcast(once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > once.count() // HOT).select("h1", "h2", F.lit(True).alias("hot")))
+    marked = once.select("id", "h1", "h2").join(hot, ["h1", "h2"], "left")
+    lists = ranked.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "list")
+    few = marked.where("hot is null").join(lists, ["h1", "h2"])
+    many = marked.where("hot").join(F.broadcast(lists.join(hot, ["h1", "h2"], "left_semi")), ["h1", "h2"])
+    listed = few.unionByName(many).select("id", F.slice(F.filter("list", lambda e: e["neighbour"] != F.col("id")), 1, k).alias("list"))
     return listed.select("id", F.explode("list").alias("e")).select("id", "e.neighbour", "e.sim")
 
 
-def _calibrated(filed: DataFrame, tree: Tree, k: int, recall: float, queries: int) -> float:
-    """The smallest slack whose visits hold `recall` of the true neighbours of the sample queries (1 if none does, or if all are wanted)."""
-    if recall >= 1:
-        return 1.0
+def _calibrated(filed: DataFrame, tree: Tree, k: int, recall: float, queries: int, bin_of: np.ndarray) -> tuple[int, float] | None:
+    """(leaves, slack) of the shortest visits whose bins hold `recall` of the true neighbours of the sample queries; None if none does."""
     asked = [bytes(r[0]) for r in filed.orderBy("h2", "h1").select("vec").limit(queries).collect()]
     q = unit(asked)
 
@@ -360,26 +419,30 @@ def _calibrated(filed: DataFrame, tree: Tree, k: int, recall: float, queries: in
         for b in batches:
             if len(b):
                 b = b.sort_values("low", kind="stable")
-                sims = np.round(q @ unit(b["vec"].tolist()).T, 6)
-                best = top(sims, min(k + 1, len(b)))
-                low, leaf = b["low"].to_numpy()[best.ravel()], b["leaf"].to_numpy()[best.ravel()]
-                yield pd.DataFrame({"q": np.repeat(np.arange(len(q)), best.shape[1]), "sim": np.take_along_axis(sims, best, 1).ravel(), "low": low, "leaf": leaf})
+                row, best, sims = nearest(q, unit(b["vec"].tolist()), min(k + 1, len(b)))
+                yield pd.DataFrame({"q": row, "sim": sims, "low": b["low"].to_numpy()[best], "leaf": b["leaf"].to_numpy()[best]})
 
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "low")
     found = filed.select("vec", "low", "leaf").mapInPandas(op, "q long, sim double, low long, leaf long").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
-    true: dict[int, list[tuple[float, int]]] = {}
+    true: dict[int, list[int]] = {}
     for r in found.collect():  # at most queries * (k+1) rows
-        true.setdefault(r["q"], []).append((r["sim"], r["leaf"]))
-    for slack in (0.3, 0.5, 0.7, 0.8, 0.9):
-        held = asked_for = 0
-        for i, hits in true.items():
-            above = np.array([min(s for s, _ in hits) - 1e-6])
-            got = set(tree.visit(q[i], 0.0, FIRST)) | set(tree.widen_to(q[i : i + 1], slack, above)[1].tolist())
-            held += sum(leaf in got for _, leaf in hits)
-            asked_for += len(hits)
-        if held >= recall * asked_for:
-            return slack
-    return 1.0
+        true.setdefault(r["q"], []).append(int(bin_of[r["leaf"]]))
+    best: tuple[int, float] | None = None
+    for slack in SLACKS:
+        # How many leaves a query must visit until it meets the bin of each neighbour.
+        after = []
+        for i, bins_ in true.items():
+            met: dict[int, int] = {}
+            for n, leaf in enumerate(tree.visit(q[i], slack, VISITS[-1]), 1):
+                met.setdefault(int(bin_of[leaf]), n)
+            after += [met.get(b, VISITS[-1] + 1) for b in bins_]
+        needed = np.array(after)
+        for most in VISITS:
+            if (needed <= most).mean() >= recall:
+                if best is None or most < best[0]:
+                    best = (most, slack)
+                break
+    return best
 
 
 def neighbour_pairs(listed: DataFrame) -> DataFrame:

@@ -81,13 +81,27 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Calibrated share of the true neighbours.
+RECALL = 0.999
+
+
+def nearest_files(spark: SparkSession, sf_dir: str, recall: float) -> DataFrame:
     """Pairs of files of which one is among the five nearest of the other."""
     wide = table(spark, sf_dir, "file_embeddings")
-    pairs = knn.neighbour_pairs(knn.neighbours(knn.pack(wide, "file_id", [f"e{i}" for i in range(64)]), k=5, recall=1.0))
+    pairs = knn.neighbour_pairs(knn.neighbours(knn.pack(wide, "file_id", [f"e{i}" for i in range(64)]), k=5, recall=recall))
     return pairs.select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest files at calibrated recall: linear in the files."""
+    return nearest_files(spark, sf_dir, RECALL)
+
+
+def p3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest files by the exact bounds of the tree."""
+    return nearest_files(spark, sf_dir, 1.0)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten riskiest paths of every snapshot."""
     samples = table(spark, sf_dir, "trend_hotspots").where("snapshot_id is not null and risk_score is not null")
@@ -99,7 +113,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
-    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_quality": p9_quality}
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p3_exact": p3_exact, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_quality": p9_quality}
 
 ORACLE = {
     "p3_found": """
@@ -127,3 +141,4 @@ select snapshot_id, path from (
 ) where n <= 10
 """,
 }
+ORACLE["p3_exact"] = ORACLE["p3_found"]

@@ -83,3 +83,28 @@ def test_calibrated_recall(spark):
     got = {(r["id"], r["neighbour"]) for r in knn.neighbours(knn.pack(df, "id", [f"e{i}" for i in range(8)]), 5, recall=0.95, sample=200).collect()}
     want = brute(np.arange(400), x, 5)
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_large_bins_have_a_tree_of_their_own():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))[rng.integers(0, 400, 24_000)] + 0.2 * rng.normal(size=(24_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:300]
+    a, b, sims = knn.nearest_local(q, x, 6, points=4096)
+    want = [set(r) for r in np.argsort(-(q @ x.T), axis=1)[:, :6].tolist()]
+    got = [set(b[a == i].tolist()) for i in range(300)]
+    assert np.mean([len(g & w) / 6 for g, w in zip(got, want, strict=True)]) >= 0.95
+    assert (np.diff(sims)[np.diff(a) == 0] <= 0).all() and np.allclose(sims, np.round((q[a] * x[b]).sum(1), 6))
+
+
+def test_calibrated_and_exact_searches_with_many_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 8))[rng.integers(0, 150, 3000)] + 0.1 * rng.normal(size=(3000, 8))
+    x[:1200] = x[0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"e{i} double" for i in range(8)))
+    packed = knn.pack(df, "id", [f"e{i}" for i in range(8)])
+    true = {(r["id"], r["neighbour"]) for r in knn.neighbours(packed, 5, recall=1.0).collect()}
+    got = {(r["id"], r["neighbour"]) for r in knn.neighbours(packed, 5, recall=0.95).collect()}
+    assert len(true) == 15_000 and len(got) == 15_000
+    assert len(true & got) >= 0.93 * 15_000
+    assert {n for i, n in true if i < 1200} <= set(range(6))
