@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlens.llm.sources import extension
@@ -38,11 +38,26 @@ def checked(sources: DataFrame) -> DataFrame:
     return sources.select(*kept, "content", extension("path").alias("_ext")).mapInArrow(op, schema)
 
 
+#: Other spellings of language names, in lower case.
+SPELLINGS = {"c++": "cpp", "cxx": "cpp", "c#": "csharp", "py": "python", "python3": "python", "rb": "ruby", "rs": "rust", "js": "typescript", "javascript": "typescript", "ts": "typescript", "jsx": "typescript", "tsx": "typescript", "kt": "kotlin", "rfl": "rayfall"}
+
+
+def language_name(name: str) -> Column:
+    """One spelling of a language name: lower case, without outer blanks, short forms written out; null if it is null, blank or `unknown`."""
+    plain = F.lower(F.trim(F.col(name)))
+    known = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
+    return F.when(~plain.isin("", "unknown"), F.coalesce(known[plain], plain))
+
+
 def rates(flags: DataFrame) -> DataFrame:
-    """(repo, language_name, files, broken, rate) over the files of a supported language; null repos are a group."""
+    """(repo, language_name, files, broken, rate) over the files of a supported language; null repos are a group.
+
+    The name is that of the column `language_name` in one spelling where `flags` has it and it is known, else the language of the extension.
+    """
+    name = F.coalesce(language_name("language_name"), "language") if "language_name" in flags.columns else F.col("language")
     return (
         flags.where("valid is not null")
-        .groupBy("repo", F.col("language").alias("language_name"))
+        .groupBy("repo", name.alias("language_name"))
         .agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("broken"))
         .withColumn("rate", F.col("broken") / F.col("files"))
     )

@@ -11,8 +11,8 @@ from factlens.session import table
 
 
 def checked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, path, repo, language, valid) of every current file with a text."""
-    return parsing.checked(current_sources(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_texts"), ["path", "repo"]))
+    """(file_id, path, repo, language_name, language, valid) of every current file with a text."""
+    return parsing.checked(current_sources(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_texts"), ["path", "repo", "language_name"]))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

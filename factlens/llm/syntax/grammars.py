@@ -615,7 +615,7 @@ stmts : stmt*
 stmt : end | imp end | dfn end? | e end | asg end
 asg : post "=" e | post ASG e
 e : <id | "_" | <"implicit">? id | (params)> <"=>" | "?=>"> N? <e | stmts> | e1
-e1 : "if" (e) N? e <";" | N>? "else" N? e | "if" (e) N? e0 | "if" bin "then" N? e <N? "else" e>? | "while" (e) N? e0 | "for" <(enums) | {enums}> N? "yield"? N? e0 | "try" e <"catch" <{cases} | e>>? <"finally" e>? | "throw" e | "return" e? | "do" e "while" (e) | bin <"match" {cases}>? | bin ":" <type | ann+ | "_" "*"> | "new" tmpl? <{body}>? | asg
+e1 : "if" (e) N? e <";" | N>? "else" N? e | "if" (e) N? e0 | "if" bin "then" N? e <N? "else" e>? | "while" (e) N? e0 | "while" bin "do" N? e0 | "for" <(enums) | {enums}> N? "yield"? N? e0 | "for" <(enums) | {enums}>? enums? <"do" | "yield"> N? e0 | "try" e <"catch" <{cases} | e>>? <"finally" e>? | "throw" e | "return" e? | "do" e "while" (e) | bin <"match" {cases}>? | bin ":" <type | ann+ | "_" "*"> | "new" tmpl? <{body}>? | asg
 e0 : e | asg
 enums : <N? enum <<";" | N> enum>*> end?
 enum : "val"? "case"? pat <"<-" | "="> e guard* | guard

@@ -33,7 +33,7 @@ NAME = r"[^\W\d]\w*"
 DQ, SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
 
 
-def braced(open_: str, depth: int = 3) -> str:
+def braced(open_: str, depth: int = 8) -> str:
     """An interpolation: the opening text, then anything with paired braces and strings to this depth."""
     inner = r"[^{}\"'`\n]"
     for _ in range(depth):
@@ -41,7 +41,7 @@ def braced(open_: str, depth: int = 3) -> str:
     return rf"{open_}{inner}*\}}"
 
 
-def rounded(open_: str, depth: int = 3) -> str:
+def rounded(open_: str, depth: int = 8) -> str:
     """The same with round brackets."""
     inner = r"[^()\"\n]"
     for _ in range(depth):
@@ -49,6 +49,41 @@ def rounded(open_: str, depth: int = 3) -> str:
     return rf"{open_}{inner}*\)"
 
 
+CLOSES = {"(": ")", "[": "]", "{": "}"}
+
+
+def inside(text: str, at: int, close: str) -> int:
+    """The place of the bracket that closes what opened before `at`, strings and comments skipped; the end of the text if there is none."""
+    wanted = [close]
+    n = len(text)
+    while at < n:
+        c = text[at]
+        if c == wanted[-1]:
+            wanted.pop()
+            if not wanted:
+                return at
+        elif c in CLOSES and wanted[-1] != "`":
+            wanted.append(CLOSES[c])
+        elif c == "`":
+            wanted.append("`")
+        elif c == "\\":
+            at += 1
+        elif wanted[-1] == "`":
+            if text.startswith("${", at):
+                wanted.append("}")
+                at += 1
+        elif c in "\"'":
+            end = re.compile(r"(?:[^\\%s\n]|\\.)*" % c).match(text, at + 1).end()
+            at = end if text[end : end + 1] == c else at
+        elif text.startswith("//", at):
+            at = text.find("\n", at) if "\n" in text[at:] else n
+        elif text.startswith("/*", at):
+            end = text.find("*/", at)
+            at = end + 1 if end >= 0 else n
+        at += 1
+    return n
+
+
 @dataclass
 class Language:
     """A lexer and a grammar. `ends` are the terminals after which a line may end, `goes_on` those that never begin a statement."""
@@ -186,10 +221,19 @@ class Language:
         """Whether a bracket at the start of a line begins a statement."""
         return self.open[bracket] not in self.no_start
 
+    def hole_texts(self, tok: str) -> list[str]:
+        """The texts of the expressions inside a string; where `holes` is plain text, it opens one that ends at the bracket that pairs with it."""
+        if self.hole.groups:
+            return [m[1] for m in self.hole.finditer(tok)]
+        out, at = [], 0
+        while (m := self.hole.search(tok, at)) is not None:
+            at = inside(tok, m.end(), CLOSES[m[0][-1]])
+            out.append(tok[m.end() : at])
+        return out
+
     def holes_ok(self, tok: str) -> bool:
         """Whether each expression inside a string is one."""
-        for m in self.hole.finditer(tok):
-            inner = next(g for g in m.groups() if g is not None)
+        for inner in self.hole_texts(tok):
             seq = self.fold(inner)
             while seq and seq[-1] == self.n:
                 seq = seq[:-1]
@@ -251,11 +295,130 @@ class TsLike(Language):
         return super().fold(text)
 
 
+class Markup(TsLike):
+    """The dialect with elements inside scripts: each whole element is rewritten as a sequence of the expressions it holds."""
+
+    def fold(self, text: str) -> tuple[int, ...] | None:
+        return super().fold(self.plain(text))
+
+    def plain(self, text: str) -> str:
+        out, at = [], 0
+        for m in _ELEMENT.finditer(text):
+            if m[1] or m.start(2) < at:
+                continue
+            got = self.element(text, m.start(2))
+            if got is not None:
+                out += [text[at : m.start(2)], got[0]]
+                at = got[1]
+        return "".join([*out, text[at:]]) if out else text
+
+    def element(self, text: str, at: int) -> tuple[str, int] | None:
+        """(the expressions as a sequence, end) of the element that begins at a place; None if it is none. Open tags are kept in a list, not by recursion."""
+        parts: list[str] = []
+        tags: list[str] = []
+        while True:
+            m = _TAG.match(text, at)
+            if m is None:
+                return None
+            at = m.end()
+            if m[1]:
+                if not tags or tags.pop() != m[2]:
+                    return None
+                at = _BLANK.match(text, at).end()
+                if not text.startswith(">", at):
+                    return None
+                at += 1
+            else:
+                alone = False
+                while True:
+                    at = _BLANK.match(text, at).end()
+                    if text.startswith("/>", at) or text.startswith(">", at):
+                        alone = text[at] == "/"
+                        at += 2 if alone else 1
+                        break
+                    a = _ATTRIBUTE.match(text, at)
+                    if a is not None:
+                        at = a.end()
+                    elif not text.startswith("{", at):
+                        return None
+                    if a is None or a[0].endswith("="):
+                        if not text.startswith("{", at):
+                            return None
+                        end = inside(text, at + 1, "}")
+                        hole = text[at + 1 : end].strip()
+                        if end == len(text) or not hole or (a is None and not hole.startswith("...")):
+                            return None
+                        parts.append(hole.removeprefix("..."))
+                        at = end + 1
+                if not alone:
+                    tags.append(m[2])
+            # Text and holes between tags.
+            while tags and not text.startswith("<", at):
+                at = _WORDS.match(text, at).end()
+                if text.startswith("{", at):
+                    end = inside(text, at + 1, "}")
+                    if end == len(text):
+                        return None
+                    hole = _COMMENTS.sub("", text[at + 1 : end]).strip()
+                    if hole:
+                        parts.append(hole.removeprefix("..."))
+                    at = end + 1
+                elif at == len(text) or text[at] in ">}":
+                    return None
+            if not tags:
+                return "(" + ", ".join(["null", *[f"({self.plain('=' + x)[1:]})" for x in parts]]) + ")", at
+
+
+_BLANK, _WORDS, _COMMENTS = re.compile(rf"(?:\s|{BLOCK}|{LINE})*"), re.compile(r"[^<>{}]*"), re.compile(rf"{BLOCK}|{LINE}")
+_TAG = re.compile(r"<(/?)\s*((?:[A-Za-z_$][\w$]*(?:[-:.][\w$]+)*)?)(?=[\s/>])")
+_ATTRIBUTE = re.compile(rf"[A-Za-z_$][\w$]*(?:[-:][\w$]+)*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?={{)))?")
+
+
 _SKIP_JS = rf"{LINE}|{BLOCK}|{DQ}|{SQ}|`(?:[^`\\]|\\[\s\S])*`"
 _REGEX_HINT = re.compile(r"(?:[=(,:;!&|?{\[}]|return)\s*/(?![*/])")
 _REGEX = re.compile(rf"({_SKIP_JS})|((?:[=(,:;!&|?{{\[]|\breturn\b)[ \t\n]*)/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
 
+_ELEMENT = re.compile(rf"({_SKIP_JS})|(?:[=(,:;!&|?{{}}\[>]|\breturn\b|\bdefault\b|\A)\s*(?=<)(?=<[A-Za-z_$>])()")
+
+
+class Indented(Language):
+    """Scala with significant indentation: a deeper block after a line that opens one is put in braces."""
+
+    def fold(self, text: str) -> tuple[int, ...] | None:
+        bare = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " " if m[0][0] == "/" else "x", m[0]), text)
+        lines, plain = text.split("\n"), bare.split("\n")
+        full = [i for i, x in enumerate(plain) if x.strip()]
+        indent = {i: len(plain[i]) - len(plain[i].lstrip()) for i in full}
+        out = [x for x in lines]
+        open_: list[int] = []
+        for k, i in enumerate(full):
+            closed = 0
+            while open_ and indent[i] < open_[-1]:
+                open_.pop()
+                closed += 1
+            if _END.match(plain[i]):
+                out[i] = ""
+            lead = "}\n" * closed if plain[i].lstrip()[:1] not in (")", "]") else "}" * closed
+            out[i] = lead + out[i]
+            nxt = full[k + 1] if k + 1 < len(full) else None
+            if nxt is None or indent[nxt] <= indent[i] or _END.match(plain[i]):
+                continue
+            code = plain[i].rstrip()
+            m = _OPENS.search(code)
+            if m is not None and not plain[nxt].lstrip().startswith("{"):
+                # What follows the code of a line, a comment, is dropped.
+                head = out[i][: len(out[i]) - len(lines[i]) + len(code)]
+                out[i] = (head[:-1] if m[0] == ":" else head) + " {"
+                open_.append(indent[nxt])
+        return super().fold("\n".join(out) + "\n" + "}" * len(open_))
+
+
+_HIDDEN = re.compile(rf'{LINE}|{BLOCK}|"""[\s\S]*?"""+|{DQ}|\'(?:[^\'\\\n]|\\[^\n]{{1,6}}?)\'')
+_END = re.compile(r"\s*end(?:\s+[\w]+)?\s*$")
+_OPENS = re.compile(r"(?<=[\w\])`]):$|(?:(?<=\s)=|\b(?:then|else|do|try|finally|match|catch|yield|return|with))$")
+
+
 class Ruby(Language):
     """Blocks that close with `end` are folded as brackets; a modifier differs from the statement of the same word."""
 
@@ -495,12 +658,14 @@ def _languages() -> dict[str, list[Language]]:
     ts_ctx = "async await of get set type interface namespace module declare abstract readonly public private protected static as is keyof infer implements from global satisfies asserts unique require accessor override assert yield out"
     dollar = braced(r"\$\{")
     ts = TsLike("typescript", grammars.TS, "file", [LINE, BLOCK], [rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|{dollar.replace(chr(92) + 'n', '')})*`", DQ, SQ], "=== !== == != <= >= && || ?? ** << / % ^ | ? ?. : ; , . => ++ -- ... + - * & < > = ! ~ += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= @ #", ts_kw, ts_ctx, asg=C_ASG, lines=True, ends="break continue return this super null true false debugger default ++ -- !", goes_on=". ?. , ; : ? => = == === != !== <= >= && || ?? * / % ^ | & < > + - ) ] in instanceof else catch finally ASG OP {",
-        special=[(r"/\*", "BAD"), (r"[\"'`]", "BAD")], names=r"[^\W\d]\w*|\$[\w$]*|[^\W\d][\w$]*", holes=r"\$\{((?:[^{}`]|\{[^{}]*\}|`[^`]*`)*)\}", hole_rule="e", char_literals=False)
+        special=[(r"/\*", "BAD"), (r"[\"'`]", "BAD")], names=r"[^\W\d]\w*|\$[\w$]*|[^\W\d][\w$]*", holes=r"(?<!\\)\$\{", hole_rule="e", char_literals=False)
     ts.name = "typescript"
+    markup = Markup.__new__(Markup)
+    markup.__dict__ = ts.__dict__
     kt_kw = "as break class continue do else false for fun if in interface is null object return super this throw true try typealias val var when while as? !in !is package import"
     kt_ctx = "public private protected internal open abstract final sealed data inner override lateinit const suspend inline infix operator tailrec external vararg noinline crossinline expect actual annotation enum value companion reified out by where constructor init get set file catch finally"
     ktargs = dict(trivia=[LINE, r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"], strings=[r'"""[\s\S]*?"""+', rf'"(?:[^"\\\n$]|\\.|\$(?!\{{)|{dollar})*"', r"'(?:[^'\\\n]|\\[^\n]{1,6}?)'"], operators="=== !== == != <= >= && || ?: .. ..< / % ? ?. : ; , . -> :: ++ -- !! + - * & < > = ! += -= *= /= %= @ !in !is as?", keywords=kt_kw, context=kt_ctx, asg=C_ASG, lines=True, ends="break continue return this super null true false ++ -- !! ? > * object", goes_on=". ?. , : ?: && || -> = ) ] else catch finally ASG as as? by where in is {",
-        special=[(r"/\*", "BAD"), (r"[\"']", "BAD"), (r"`[^`\n]+`", "ID"), (r"!in\b|!is\b|as\?", "NEVER")], holes=r"\$\{((?:[^{}]|\{[^{}]*\})*)\}", hole_rule="e")
+        special=[(r"/\*", "BAD"), (r"[\"']", "BAD"), (r"`[^`\n]+`", "ID"), (r"!in\b|!is\b|as\?", "NEVER")], holes=r"(?<!\\)\$\{", hole_rule="e")
     kt = Language("kotlin", grammars.KOTLIN, "file", **ktargs)
     kts = Language("kotlin", grammars.KOTLIN, "file script", **ktargs)
     for k in (kt, kts):
@@ -512,14 +677,14 @@ def _languages() -> dict[str, list[Language]]:
     sw_ctx = "get set willSet didSet public private fileprivate internal open package final override mutating nonmutating lazy weak unowned required convenience indirect dynamic optional async await nonisolated isolated prefix postfix infix each borrowing consuming Type Protocol"
     paren = rounded(r"\\\(")
     sw = Language("swift", grammars.SWIFT, "file", [LINE, r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"], [r'#"[\s\S]*?"#|"""[\s\S]*?"""', rf'"(?:[^"\\\n]|\\[^(\n]|{paren})*"'], "=== !== == != <= >= && || ?? .. ... ..< << / % ^ | ? : ; , . -> ++ -- + - * & < > = ! ~ += -= *= /= %= &= |= ^= <<= >>= &+ &- &* @ \\", sw_kw, sw_ctx, asg=C_ASG, lines=True, ends="break continue return fallthrough self Self super nil true false ? ! > init _ default rethrows throws",
-        goes_on=". , : ? = == && || ?? -> ) ] else catch where in ASG OP | & {", special=[(r"#(?:if|elseif|else|endif|available|unavailable|selector|keyPath|file|line|function|warning|error|imageLiteral|colorLiteral)\b", "PP"), (r"/\*", "BAD"), (r"\"", "BAD"), (r"`[^`\n]+`|\$\d+|\$\w+", "ID")], holes=r"\\\(((?:[^()]|\([^()]*\))*)\)", hole_rule="items", string_first='"#')
+        goes_on=". , : ? = == && || ?? -> ) ] else catch where in ASG OP | & {", special=[(r"#(?:if|elseif|else|endif|available|unavailable|selector|keyPath|file|line|function|warning|error|imageLiteral|colorLiteral)\b", "PP"), (r"/\*", "BAD"), (r"\"", "BAD"), (r"`[^`\n]+`|\$\d+|\$\w+", "ID")], holes=r"(?<!\\)\\\(", hole_rule="items", string_first='"#')
     sw.no_start.add(sw.kind["catch"])
     sc_kw = "case catch class def do else extends false final finally for forSome if implicit import lazy match new null object override package private protected return sealed super this throw trait true try type val var while with yield abstract enum given then export"
     sc_ctx = "inline open opaque transparent infix derives using extension as end"
-    scala = Language("scala", grammars.SCALA, "file", [LINE, r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"], [r'(?:[a-z]\w*)?"""[\s\S]*?"""+', rf'(?:[a-z]\w*)"(?:[^"\\\n$]|\\.|\$(?!\{{)|{dollar})*"', DQ, r"'(?:[^'\\\n]|\\[^\n]{1,6}?)'"], "== != <= >= && || => <- ?=> <: >: <% ++ -- :: ::: += -= *= /= %= ++= | ^ / % ? : ; , . + - * & < > = ! ~ @ # :+ +: -> _", sc_kw, sc_ctx, asg="+= -= *= /= %= ++= |= &=", lines=True, ends="this super null true false return type _ * + given", goes_on=". , : => = ) ] else catch finally match yield extends with ASG then {", special=[(r"/\*", "BAD"), (r"[\"']", "BAD"), (r"`[^`\n]+`", "ID")], holes=r"(?<!\$)\$\{((?:[^{}]|\{[^{}]*\})*)\}", hole_rule="e")
+    scala = Language("scala", grammars.SCALA, "file", [LINE, r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"], [r'(?:[a-z]\w*)?"""[\s\S]*?"""+', rf'(?:[a-z]\w*)"(?:[^"\\\n$]|\\.|\$(?!\{{)|{dollar})*"', DQ, r"'(?:[^'\\\n]|\\[^\n]{1,6}?)'"], "== != <= >= && || => <- ?=> <: >: <% ++ -- :: ::: += -= *= /= %= ++= | ^ / % ? : ; , . + - * & < > = ! ~ @ # :+ +: -> _", sc_kw, sc_ctx, asg="+= -= *= /= %= ++= |= &=", lines=True, ends="this super null true false return type _ * + given", goes_on=". , : => = ) ] else catch finally match yield extends with ASG then {", special=[(r"/\*", "BAD"), (r"[\"']", "BAD"), (r"`[^`\n]+`", "ID")], holes=r"(?<![\\$])\$\{", hole_rule="e")
     rb_kw = "alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield __FILE__ __method__"
     rstr = r'"(?:[^"\\#]|\\[\s\S]|#(?!\{)|#\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|\{[^{}]*\})*\})*"'
-    ruby = Ruby("ruby", grammars.RUBY, "file", [r"#[^\n]*", r"\\\n"], [r"(?:" + rstr + r"|'(?:[^'\\]|\\[\s\S])*')(?::(?!:))?", r"`[^`]*`", r"%[wWiIqQr]?(?:\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|\|[^|\n]*\|)[a-z]*", r"(?<=[=(,~|&!\[{\s])/(?![ =/])(?:[^/\\\n]|\\.)+/[a-z]*", r":\"(?:[^\"\\]|\\.)*\"", r"(?<!:):(?:[^\W\d]\w*(?:[?!]|=(?![=~>]))?|\[\]=?|[+\-*/<>!~%]+)", r"[@$]{1,2}\w+|\$[!@&~0-9]", r"\?[A-Za-z](?!\w)"], "=== == != =~ !~ <= >= <=> && || << >> ** / % ^ | ? : ; , . &. -> => .. ... :: + - * & < > = ! ~ += -= *= /= %= &= |= ^= <<= >>= **= &&= ||=", rb_kw, asg=C_ASG, lines=True, ends="break next redo retry return self super nil true false yield __FILE__ __method__", goes_on=". &. , => ? : = && || and or ) ] then ASG", names=r"defined\?|[^\W\d]\w*:(?![:\w])(?=\s|$|[)\]},])|[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*", holes=r"#\{((?:[^{}]|\{[^{}]*\})*)\}", hole_rule="stmts", char_literals=False)
+    ruby = Ruby("ruby", grammars.RUBY, "file", [r"#[^\n]*", r"\\\n"], [r"(?:" + rstr + r"|'(?:[^'\\]|\\[\s\S])*')(?::(?!:))?", r"`[^`]*`", r"%[wWiIqQr]?(?:\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|\|[^|\n]*\|)[a-z]*", r"(?<=[=(,~|&!\[{\s])/(?![ =/])(?:[^/\\\n]|\\.)+/[a-z]*", r":\"(?:[^\"\\]|\\.)*\"", r"(?<!:):(?:[^\W\d]\w*(?:[?!]|=(?![=~>]))?|\[\]=?|[+\-*/<>!~%]+)", r"[@$]{1,2}\w+|\$[!@&~0-9]", r"\?[A-Za-z](?!\w)"], "=== == != =~ !~ <= >= <=> && || << >> ** / % ^ | ? : ; , . &. -> => .. ... :: + - * & < > = ! ~ += -= *= /= %= &= |= ^= <<= >>= **= &&= ||=", rb_kw, asg=C_ASG, lines=True, ends="break next redo retry return self super nil true false yield __FILE__ __method__", goes_on=". &. , => ? : = && || and or ) ] then ASG", names=r"defined\?|[^\W\d]\w*:(?![:\w])(?=\s|$|[)\]},])|[^\W\d]\w*[?!]?(?!=[^=~>])|[^\W\d]\w*", holes=r"(?<!\\)#\{", hole_rule="stmts", char_literals=False)
     py_kw = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type _"
     pre = r"(?i:[rbuft]|br|rb|fr|rf|tr|rt)?"
     py = Python("python", grammars.PYTHON, "file", [r"#[^\n]*", r"\\\n"], [rf'{pre}"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', rf"{pre}'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''", pre + DQ, pre + SQ], "== != <= >= << >> ** // / % ^ | : ; , . -> := ... + - * & < > = ~ += -= *= /= //= %= &= |= ^= <<= >>= **= @ @=", py_kw, asg=C_ASG + " //= @=", lines=False, special=[(r"\n[ \t\f]*", "NEVER"), (r"[\"']", "BAD")], hole_rule="atom", char_literals=False)
@@ -529,7 +694,10 @@ def _languages() -> dict[str, list[Language]]:
     py.pattern = re.compile(py.pattern.pattern.replace(r"[\s﻿]+", r"[ \t\f\r﻿]+", 1))
     rfl = Language("rayfall", grammars.RFL, "file", [r";[^\n]*"], [r'"(?:[^"\\]|\\[\s\S])*"'], "'", "", names=r"[^\s()\[\]{}\"';]+", special=[(r"[^\s()\[\]{}\"';:]+:", "KEY"), (r"[^\s()\[\]{}\"';]+", "ATOM"), (r'"', "BAD")], string_first='"', char_literals=False)
     out = {x.name: [x] for x in (c, cpp, java, cs, rust, ts, kt, sw, scala, ruby, py, rfl)}
-    out["kts"] = [kts]
+    indented = Indented.__new__(Indented)
+    indented.__dict__ = scala.__dict__
+    out["scala"].append(indented)
+    out |= {"kts": [kts], **{e: [ts, markup] for e in ("tsx", "jsx", "js")}}
     return out
 
 
@@ -546,10 +714,11 @@ def parses(text: str, extension: str) -> bool | None:
     if language is None:
         return None
     if _ALL is None:
-        sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))
+        # Brackets nest as deep as a file likes; calls between Python functions take heap, not stack.
+        sys.setrecursionlimit(max(20_000_000, sys.getrecursionlimit()))
         _ALL = _languages()
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    for dialect in _ALL["kts" if extension == "kts" else language]:
+    for dialect in _ALL.get(extension) or _ALL[language]:
         dialect.grammar.forget()
         if dialect.accepts(text):
             return True

@@ -65,6 +65,40 @@ def test_dialects_and_unknown():
     assert not parses("int f() { return 1; }\n#endif\n", "h")
 
 
+MARKUP = [
+    (True, "const a = <div className=\"x\" onClick={() => f(1)}>Hello {name} <b>it's</b>{/* c */}</div>;\n"),
+    (True, "export default function A({x}) {\n  return (\n    <>\n      {x.map((i) => <Item key={i} {...i} on={`a${i}`} />)}\n      {x ? <p>yes</p> : null}\n    </>\n  );\n}\n"),
+    (True, "const f = <T,>(x: T) => x;\nconst a = b < c && d > e;\n"),
+    (True, "function A() { return <ul>{xs.map(x => { if (x) { return <li>{x}</li>; } return null; })}</ul>; }\n"),
+    (False, "const a = <div>Hello</span>;\n"),
+    (False, "const a = <div>Hello {x +}</div>;\n"),
+    (False, "const a = <div {x}>Hello</div>;\n"),
+]
+INDENTED = [
+    (True, "enum C:\n  case A, B\n  case D(x: Int)\n\nobject O:\n  def f(x: Int): Int =\n    val y = x + 1\n    if y > 2 then\n      y\n    else\n      0\n\n  class P(val a: Int):\n    def g = a\n"),
+    (True, "trait T:\n  def f(x: Int): Int\nend T\n\n@main def run(): Unit =\n  for i <- 1 to 3 do\n    println(i) // now:\n  val z = x match\n    case 1 => 2\n    case _ => 3\n  while x > 1 do\n    f(x)\n"),
+    (False, "enum C:\n  case A, B(\n"),
+    (False, "object O:\n  def f(x: Int: Int =\n    x\n"),
+    (False, "object O {\n  def f(x: Int): Int = {\n    x\n}\n"),
+]
+
+
+@pytest.mark.parametrize("valid,text", MARKUP)
+def test_markup_inside_scripts(valid, text):
+    assert all(parses(text, e) == valid for e in ("tsx", "jsx", "js"))
+
+
+@pytest.mark.parametrize("valid,text", INDENTED)
+def test_significant_indentation(valid, text):
+    assert parses(text, "scala") == valid
+
+
+def test_deep_nesting():
+    assert parses("x = " + "(" * 20_000 + "1" + ")" * 20_000 + ";\n", "ts") and parses("x = " + "[" * 20_000 + "]" * 20_000 + "\n", "py")
+    assert not parses("x = " + "(" * 20_000 + "1 +" + ")" * 20_000 + ";\n", "ts")
+    assert parses("const a = `x ${ f({a: {b: {c: {d: {e: 1}}}}}) } y`;\n", "ts") and not parses("const a = `x ${ f({a: {b: {c: +}}}) } y`;\n", "ts")
+
+
 def test_ambiguous_and_left_recursive_grammars():
     g = Grammar('s : s "a" s | "b" | ')
     a, b = g.terminals["a"], g.terminals["b"]
@@ -78,3 +112,5 @@ def test_operator(spark):
     assert {r["file_id"]: r["valid"] for r in got.collect()} == {1: False, 2: None, 4: None}
     assert [tuple(r) for r in rates(got).collect()] == [("r", "python", 1, 1, 1.0)]
     assert checked(current_sources(files.limit(0), texts, ["path", "repo"])).count() == 0
+    named = got.selectExpr("*", "case file_id when 1 then ' Python3' end as language_name")
+    assert [tuple(r) for r in rates(named).collect()] == [("r", "python", 1, 1, 1.0)]
