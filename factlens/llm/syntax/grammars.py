@@ -360,7 +360,7 @@ TS = """
 file : stmts
 stmts : stmt*
 end : N | ";"
-stmt : {stmts} end? | end | decl | import | export | vars end | e end | "if" (e) stmt <"else" stmt>? | "while" (e) stmt | "do" stmt "while" (e) end? | "for" "await"? (<vars | e>? ";" e? ";" e?) stmt | "for" "await"? (<<VAR | "let"> target | post> <"of" | "in"> e) stmt
+stmt : {stmts} end? | end | decl | import | export | vars end | es end | "if" (e) stmt <"else" stmt>? | "while" (e) stmt | "do" stmt "while" (e) end? | "for" "await"? (<vars | e>? ";" e? ";" e?) stmt | "for" "await"? (<<VAR | "let"> target | post> <"of" | "in"> e) stmt
   | "return" e? end | "throw" e end | "break" id? end | "continue" id? end | "debugger" end | "try" {stmts} <"catch" <(target <":" type>?)>? {stmts}>? <"finally" {stmts}>? end? | "switch" (e) {cases} end? | id ":" stmt | deco stmt
 decl : fun end? | class end? | "interface" id tparams? <"extends" types>? {tmembers} end? | "type" id tparams? "=" type end | "const"? "enum" id {enums} end? | <"namespace" | "module"> <name | STR> {stmts} end? | "declare" <decl | vars end | "global" {stmts} end?> | "abstract" class end?
 deco : "@" name (args)? N?
@@ -408,6 +408,9 @@ tmember : <"readonly" | "get" | "set" | "-" | "+">* prop "?"? <tparams? (params)
 cases : case*
 case : <"case" e | "default"> ":" N? stmts
 e : asg <"," asg>*
+es : <terns | arrow | "yield" "*"? asg?> <"," asg>*
+terns : bins <"?" asg ":" asg>?
+bins : <pre+ post | prims suf*> <bop <un | arrow> | <"as" | "satisfies"> <type | "const_">>*
 asg : tern | arrow | "yield" "*"? asg?
 arrow : "async"? <id | tparams? (params) <":" rtype>?> "=>" <asg | {stmts}>
 tern : bin <"?" asg ":" asg>?
@@ -417,7 +420,8 @@ un : pre* post
 pre : "+" | "-" | "!" | "~~" | "++" | "--" | "typeof" | "void" | "delete" | "await" | "<" type ">"
 post : prim suf*
 suf : "." <pname | "#" pname> | "?." <pname | (args) | [e] | "#" pname> | [e] | (args) | STR | "!" | "++" | "--" | targs
-prim : id | NUM | STR | "this" | "super" | "null" | "true" | "false" | (e) | [elems] | {props} | "async"? "function" "*"? id? tparams? (params) <":" rtype>? {stmts} | deco* class | "new" newx | "import" (args) | "import" "." pname | "#" pname
+prims : id | NUM | STR | "this" | "super" | "null" | "true" | "false" | (e) | [elems] | "new" newx | "import" (args) | "import" "." pname | "#" pname
+prim : prims | {props} | "async"? "function" "*"? id? tparams? (params) <":" rtype>? {stmts} | deco* class
 newx : prim <"." pname | [e] | targs>* (args)? | "." pname
 elems : items | <arg? <"," arg?>*>
 args : items

@@ -93,6 +93,11 @@ def test_significant_indentation(valid, text):
     assert parses(text, "scala") == valid
 
 
+def test_a_statement_begins_with_no_object():
+    data = '{\n  "version": 2,\n  "files": [\n    {"path": "a", "lines": 4}\n  ]\n}\n'
+    assert not any(parses(data, e) for e in ("ts", "js", "jsx", "java", "rs", "kt")) and parses("x = " + data, "ts") and parses("({a: 1});\n{ a: f() }\n", "js")
+
+
 def test_deep_nesting():
     assert parses("x = " + "(" * 20_000 + "1" + ")" * 20_000 + ";\n", "ts") and parses("x = " + "[" * 20_000 + "]" * 20_000 + "\n", "py")
     assert not parses("x = " + "(" * 20_000 + "1 +" + ")" * 20_000 + ";\n", "ts")
