@@ -133,3 +133,8 @@ def structural_score(found: DataFrame, cycles: int) -> int:
 def check_exit(found: DataFrame) -> int:
     """1 if a finding is an error."""
     return 0 if found.where("severity = 'error'").isEmpty() else 1
+
+
+def rule_counts(found: DataFrame) -> DataFrame:
+    """(rule_id, count) of findings per code."""
+    return found.groupBy(F.col("code").alias("rule_id")).agg(F.count("*").alias("count"))

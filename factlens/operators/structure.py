@@ -346,3 +346,25 @@ def scores(facts: Facts, config: Config) -> DataFrame:
     mean = reduce(lambda a, b: a + b, [F.lit(x) * F.ln(F.greatest(F.col(n), F.lit(1e-4))) for n, x in zip(names, weights, strict=True)]) / max(sum(weights), 1e-4)
     signal = roots.withColumn("quality_signal", F.round(10000 * F.exp(mean)).cast("long"))
     return signal.withColumn("score", F.round(F.col("quality_signal") / 100).cast("long")).withColumn("overall_grade", S.grade(F.col("score") / 100))
+
+
+def coverage_score(facts: Facts) -> DataFrame:
+    """One row (coverage_score): 100 less the percentage of unresolved imports, 70 at most."""
+    r = facts.imports.agg(F.count_if(F.col("resolution") == "unresolved").alias("u"), F.count("*").alias("n"))
+    lost = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.least(F.lit(70), F.round(F.col("u") * 100 / F.col("n")))).cast("long")
+    return r.select((F.lit(100).cast("long") - lost).alias("coverage_score"))
+
+
+def complexity_summary(c: DataFrame) -> DataFrame:
+    """One row: functions, the greatest and mean value of `complexity`, and how many reach 10."""
+    return c.agg(F.count("*").alias("functions"), F.coalesce(F.max("value"), F.lit(0)).alias("max_complexity"), F.coalesce(S.round3(F.avg("value")), F.lit(0.0)).alias("mean_complexity"), F.count_if(F.col("value") >= 10).alias("complex_functions"))
+
+
+def complex_functions(c: DataFrame, n: int = 20) -> DataFrame:
+    """The n functions of greatest value, 10 at least."""
+    return c.where("value >= 10").select("function_id", "file_id", "path", "name", "value").orderBy(F.desc("value"), "path", "function_id").limit(n)
+
+
+def violation_ratio(facts: Facts, found: DataFrame) -> DataFrame:
+    """One row (violations, ratio): the listed violations over all imports."""
+    return found.agg(F.count("*").alias("violations")).crossJoin(facts.imports.agg(F.count("*").alias("n"))).select("violations", S.ratio(F.col("violations"), F.col("n")).alias("ratio"))

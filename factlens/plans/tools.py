@@ -41,6 +41,11 @@ def architecture(facts: Facts, config: Config, n: int = 5) -> dict[str, DataFram
     }
 
 
+def cycles(facts: Facts, n: int = 20) -> DataFrame:
+    """(file_id, path) of the first n files on cycles, in file order."""
+    return graph.cycle_members(structure.file_edges(facts)).withColumnRenamed("node", "file_id").join(facts.files.select("file_id", "path"), "file_id").orderBy("file_id").limit(n)
+
+
 def find_file(facts: Facts, name: str) -> int:
     """The id of a file by id, path or the only path that ends so."""
     if name.isdigit():
@@ -91,7 +96,7 @@ TOOLS: dict[str, Callable] = {
     "module_edges": lambda f, c: structure.dsm(f, c)[1],
     "architecture": architecture,
     "coupling": structure.coupling,
-    "cycles": lambda f: graph.cycle_members(structure.file_edges(f)).orderBy("node").limit(20),
+    "cycles": cycles,
     "hottest": lambda f: {"files": structure.hotspots(f), "called": structure.top_functions(f), "complex": structure.complexity(f).where("value >= 10").orderBy(F.desc("value"), "path", "function_id").limit(20)},
     "blast_radius": blast_radius,
     "level": level,
