@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions import scalars as S
-from factlens.operators import structure
+from factlens.operators import graph, structure
 from factlens.operators.facts import Facts
+from factlens.session import written
 from factlens.sources.config import Config
 
 #: What to do about a finding, by code.
@@ -59,17 +60,20 @@ def findings(facts: Facts, config: Config, root: str = ".") -> DataFrame:
     out: list[DataFrame] = []
     text = lambda f, *c: F.format_string(f, *c)
     files = facts.files.withColumn("path", S.clean_path(F.col("path")))
-    score = structure.scores(facts, config)
+    # What several rules read is derived once and written.
+    each = written(structure.complexity(facts), "rules-complexity")
+    cyclic = graph.cycle_members(structure.file_edges(facts))
+    score = written(structure.scores(facts, config, each, cyclic), "rules-scores")
     if lim.min_quality_signal:
         out.append(_finding(score.where(F.col("quality_signal") < lim.min_quality_signal), 0, "error", "min_quality_signal", at, text(f"quality signal %d below minimum {lim.min_quality_signal}", "quality_signal")))
     for i, name in enumerate(("modularity", "acyclicity", "depth", "equality", "redundancy")):
         least = getattr(lim, f"min_{name}")
         if least > 0:
             out.append(_finding(score.where(F.col(name) < least), 1 + i, "error", f"min_{name}", at, text(f"{name} %.3f below minimum {least:.3f}", name)))
-    graph_row = structure.graph_metrics(facts)
+    graph_row = structure.graph_metrics(facts, cyclic)
     out.append(_finding(graph_row.where(F.col("cycle_count") > lim.max_cycles), 6, "error", "max_cycles", at, text(f"%d cycle participants exceeds max {lim.max_cycles}", "cycle_count")))
     out.append(_finding(structure.coupling(facts, config).where(F.col("cross_module_ratio") > lim.max_coupling_ratio), 7, "warning", "max_coupling", at, text(f"cross-module ratio %.3f exceeds max {lim.max_coupling_ratio:.3f}", "cross_module_ratio")))
-    c = structure.complexity(facts).join(files.select("file_id", "language"), "file_id")
+    c = each.join(files.select("file_id", "language"), "file_id")
     few = max(lim.max_call_hotspot_findings, 1)
     for seq, code, value, name in ((8, "max_function_complexity", "value", "complexity"), (9, "max_cognitive_complexity", "cognitive_value", "cognitive complexity")):
         over = c.withColumn("_limit", limit_of(config, code, F.col("language"))).where(F.col(value) > F.col("_limit"))

@@ -54,11 +54,12 @@ def grouped_files(facts: Facts, config: Config) -> DataFrame:
     return facts.files.select("file_id", path.alias("path"), group.alias("group"), "language", "module")
 
 
-def graph_metrics(facts: Facts) -> DataFrame:
-    """One row: edge_count (all imports), resolved_edge_count, max_fan_in, max_fan_out, cycle_count."""
+def graph_metrics(facts: Facts, cyclic: DataFrame | None = None) -> DataFrame:
+    """One row: edge_count (all imports), resolved_edge_count, max_fan_in, max_fan_out, cycle_count. `cyclic` are the files on cycles, where known."""
     e = facts.imports.where("resolved_file is not null and resolved_file <> from_file").select(F.col("from_file").alias("src"), F.col("resolved_file").alias("dst"))
     top = lambda c, name: e.groupBy(c).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias(name))
-    cycles = graph.cycle_members(file_edges(facts)).agg(F.count("*").alias("cycle_count"))
+    cyclic = graph.cycle_members(file_edges(facts)) if cyclic is None else cyclic
+    cycles = cyclic.agg(F.count("*").alias("cycle_count"))
     resolved = facts.imports.agg(F.count("*").alias("edge_count"), F.count("resolved_file").alias("resolved_edge_count"))
     return resolved.crossJoin(top("dst", "max_fan_in")).crossJoin(top("src", "max_fan_out")).crossJoin(cycles)
 
@@ -320,12 +321,13 @@ def dead_functions(facts: Facts, c: DataFrame, config: Config, n: int = 50) -> D
     return f.select("function_id", "file_id", "path", "name", "value").orderBy(F.desc("value"), "path", "function_id").limit(n)
 
 
-def scores(facts: Facts, config: Config) -> DataFrame:
-    """One row: the six root-cause scores, quality_signal, score and overall grade."""
+def scores(facts: Facts, config: Config, c: DataFrame | None = None, cyclic: DataFrame | None = None) -> DataFrame:
+    """One row: the six root-cause scores, quality_signal, score and overall grade. `c` is the complexity and `cyclic` the files on cycles, where known."""
     w = config.weights
-    c = complexity(facts)
+    c = complexity(facts) if c is None else c
+    cyclic = graph.cycle_members(file_edges(facts)) if cyclic is None else cyclic
     unstable = coupling(facts, config).select("cross_unstable_ratio")
-    cycles = graph.cycle_members(file_edges(facts)).agg(F.count("*").alias("cycle_count"))
+    cycles = cyclic.agg(F.count("*").alias("cycle_count"))
     depth = facts.files.agg(F.coalesce(F.max(F.size(F.split("module", r"\."))), F.lit(0)).alias("depth"))
     dead = dead_functions(facts, c, config).agg(F.count("*").alias("dead"))
     double = duplicate_groups(c).agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("double"))

@@ -7,13 +7,14 @@ before a round bracket in them, types the lines that declare one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.functions import scalars as S
-from factlens.operators import graph, rules, structure
+from factlens.operators import baseline, graph, rules, structure, whatif
 from factlens.operators.facts import Facts, of
 from factlens.plans import tools
 from factlens.session import table
@@ -28,7 +29,10 @@ TYPED = r"(?m)^[ \t]*(?:pub |public |export |abstract |final |sealed )*(?:class|
 NO_CALLS = ("if", "for", "while", "switch", "match", "return", "catch", "sizeof", "len", "print")
 #: The configuration of these queries: limits low enough to be met, two layers, one forbidden edge.
 CONFIG = Config(
-    limits=Limits(high_file_fan_in=8, high_file_fan_out=6, large_file_lines=400),
+    limits=Limits(
+        high_file_fan_in=8, high_file_fan_out=6, large_file_lines=400, max_function_complexity=3, max_file_lines=3000, max_function_lines=14, high_function_fan_in=2, high_function_fan_out=2, min_modularity=0.99, min_quality_signal=9900,
+        low_call_resolution_ratio=0.99, max_upward_layer_violations=1, max_coupling_ratio=0.1,
+    ),
     module_roots=["services"],
     layers=[Layer("core", "src/core", 0), Layer("outer", "src", 1), Layer("app", "app", 2)],
     forbidden=[Forbidden("src", "app", "no way back")],
@@ -156,9 +160,9 @@ def ratio(part: str, whole: str) -> str:
     return RATIO.format(part, whole)
 
 
-def metric(name: str, sql: str, f: Callable[[Facts], DataFrame]) -> None:
-    """Registers a metric of the fact relations."""
-    query(name, sql)(lambda spark, d: f(facts(spark, d)))
+def metric(name: str, sql: str, f: Callable[[Facts], DataFrame], keep: bool = False) -> None:
+    """Registers a metric of the fact relations; `keep` writes the relations once for metrics that read them often."""
+    query(name, sql)(lambda spark, d: f(baseline.shared(facts(spark, d)) if keep else facts(spark, d)))
 
 
 # --- imports and modules
@@ -226,3 +230,215 @@ metric("file_levels", LEVELLED + f" select node, level::int as level from l{ROUN
 VIOLATIONS = CLOSED + LEVELLED + f", v as (select src as from_file_id, x.path as from_path, a.level as from_level, dst as to_file_id, y.path as to_path, b.level as to_level, case when a.level < b.level then 'upward_level' when exists (select 1 from cl where cl.src = fe.dst and cl.dst = fe.src) then 'cycle_edge' end as reason from fe join fx x on x.file_id = src join fx y on y.file_id = dst join l{ROUNDS} a on a.node = src join l{ROUNDS} b on b.node = dst), w as (select * from v where reason is not null order by abs(from_level - to_level) desc, from_path, to_path limit 20)"
 metric("upward_violations", VIOLATIONS + " select * from w", lambda x: structure.violations(x, file_levels(x)))
 metric("violation_ratio", VIOLATIONS + f" select count(*) as violations, {ratio('count(*)', '(select count(*) from im)')} as ratio from w", lambda x: structure.violation_ratio(x, structure.violations(x, file_levels(x))))
+
+
+# --- functions, calls, types
+
+metric("call_metrics", f" select (select count(*) from ca) as total_calls, (select count(*) from ce) as resolved_edges, {ratio('(select count(*) from ce)', '(select count(*) from ca)')} as resolution_ratio, (select coalesce(max(n), 0) from (select count(*) as n from ce group by callee_function)) as max_function_fan_in, (select coalesce(max(n), 0) from (select count(*) as n from ce group by caller_function)) as max_function_fan_out", structure.call_metrics)
+metric("resolved_calls", " select * from ce", lambda x: x.call_edges.select("call_id", "caller_function", "callee_function"))
+TOP = ", {0} as (select f.function_id, f.file_id, path, name, count(*) as calls from ce join fn f on f.function_id = {1} join fx on fx.file_id = f.file_id group by 1, 2, 3, 4 order by calls desc, path, name, f.function_id limit 10)"
+metric("top_called", TOP.format("t", "callee_function") + " select * from t", lambda x: structure.top_functions(x))
+metric("top_calling", TOP.format("t", "caller_function") + " select * from t", lambda x: structure.top_functions(x, False))
+metric("size_metrics", f", f as (select max(lines) as max_file_lines, count(*) filter (lines >= 500) as large_files, sum(comment_lines) as c, sum(lines) as l from fx), g as (select max(end_line - start_line + 1) as max_function_lines, count(*) filter (end_line - start_line + 1 >= 80) as long_functions from fn) select max_file_lines, large_files, max_function_lines, long_functions, {ratio('c', 'l')} as comment_ratio from f, g", structure.size_metrics)
+metric("entry_counts", " select " + ", ".join(f"count(*) filter (kind = '{k}') as {k}" for k in ("binary", "example", "test")) + " from ep", structure.entry_counts)
+TYPES = (
+    ", tc as (select grp as module, count(*) filter (is_abstract) as abstract_count, count(*) as total_types from ty join gr using (file_id) where grp is not null group by 1), "
+    f"dd as (select st.module, {ratio('abstract_count', 'total_types')} as a, case when fan_in + fan_out = 0 then 0.5 else instability end as i, abstract_count, total_types, fan_in, fan_out, st.module in (select module from fo) as base from st join tc on tc.module = st.module), "
+    "ds as (select module, a as abstractness, i as instability, round(abs(a + i - 1) * 1000) / 1000 as distance, abstract_count, total_types, fan_in, fan_out, base or i <= 0.3 as is_foundation from dd order by distance desc, module limit 20)"
+)
+metric("type_distance", TYPES + " select * from ds", lambda x: structure.type_distance(x, CONFIG))
+metric("average_distance", TYPES + " select coalesce(round(avg(distance) * 1000) / 1000, 0.0) as average_distance from ds where not is_foundation", lambda x: structure.average_distance(structure.type_distance(x, CONFIG)))
+metric(
+    "enclosing_functions",
+    ", li as (select file_id, unnest([5, 12, 30, 61]) as line from tx) select file_id * 100 + line as line_id, arg_min(function_id, (end_line - start_line, function_id)) as function_id from li join fn using (file_id) where line between start_line and end_line group by 1",
+    lambda x: structure.enclosing(x.functions.select("file_id").distinct().select("file_id", F.explode(F.array(*[F.lit(n) for n in (5, 12, 30, 61)])).alias("line")).select((F.col("file_id") * 100 + F.col("line")).alias("line_id"), "file_id", "line"), x.functions),
+)
+
+# --- complexity and duplicates
+
+BRANCHES = ", ".join(f"'{w}'" for w in S.BRANCH_WORDS)
+KEYS = ", ".join(f"'{w}'" for w in S.KEYWORDS)
+MARKS = ", ".join(f"'{w}'" for w in S.SHAPE_MARKS)
+HIDDEN = r"""//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|/\*[\s\S]*|"(?:[^"\\]|\\[\s\S])*"|"[\s\S]*|''(?:[^''\\]|\\[\s\S])*''|''[\s\S]*|`(?:[^`\\]|\\[\s\S])*`|`[\s\S]*"""
+CODE = (
+    f", tk as (select f.function_id, f.file_id, path, language, name, body, regexp_extract_all(lower(regexp_replace(body, '{HIDDEN}', ' ', 'g')), '[a-z0-9_]+|[{{}}()\\[\\]?:]') as t from fn f join fx on fx.file_id = f.file_id), "
+    f"cc as (select function_id, file_id, path, language, name, body, (1 + len(list_filter(t, lambda w: w in ({BRANCHES}))) + len(regexp_extract_all(body, '&&|\\|\\||\\?')) + case when language in ('python', 'ruby', 'swift') then len(regexp_extract_all(body, ' and ')) + len(regexp_extract_all(body, ' or ')) else 0 end)::int as value, "
+    f"case when len(t) >= 12 then substr(sha256(array_to_string(list_transform(t, lambda w: case when regexp_full_match(w, '[0-9]+') then '0' when w in ({KEYS}) then w else 'id' end), ' ')), 1, 16) end as fingerprint, "
+    f"case when len(t) >= 20 and len(list_filter(t, lambda w: w in ({KEYS}, {MARKS}))) >= 4 then 'shape:' || substr(sha256(array_to_string(list_filter(t, lambda w: w in ({KEYS}, {MARKS})), ' ')), 1, 16) end as shape from tk)"
+)
+GROUPS = (
+    CODE + ", dg1 as (select case when min(name) = max(name) then min(name) else 'similar_body' end as name, 0 as kind, count(*) as size, fingerprint as key from cc where fingerprint is not null group by fingerprint having count(*) > 1 union all select 'name:' || name, 1, count(*), name from cc group by name having count(*) > 1), "
+    "dgs as (select * from dg1 order by size desc, name, kind, key limit 20)"
+)
+metric("function_complexity", CODE + " select function_id, path, name, value, fingerprint, shape from cc", lambda x: structure.complexity(x).select("function_id", "path", "name", "value", "fingerprint", "shape"))
+metric("complexity_summary", CODE + " select count(*) as functions, max(value) as max_complexity, round(avg(value) * 1000) / 1000 as mean_complexity, count(*) filter (value >= 10) as complex_functions from cc", lambda x: structure.complexity_summary(structure.complexity(x)))
+metric("complex_functions", CODE + " select function_id, file_id, path, name, value from cc where value >= 10 order by value desc, path, function_id limit 20", lambda x: structure.complex_functions(structure.complexity(x)))
+metric("complexity_entropy", CODE + ", g as (select count(*) as n from cc group by value) " + ENTROPY, lambda x: structure.entropy(structure.complexity(x).groupBy("value").agg(F.count("*").alias("n"))))
+metric("duplicate_functions", GROUPS + " select * from dgs", lambda x: structure.duplicate_groups(structure.complexity(x)))
+metric("shape_groups", CODE + " select shape, count(*) as size from cc where shape is not null group by 1 having count(*) > 1 order by size desc, shape limit 20", lambda x: structure.shape_groups(structure.complexity(x)))
+DEAD = CODE + (
+    r", dead as (select function_id, cc.file_id, cc.path, name, value from cc join pa on pa.file_id = cc.file_id where function_id not in (select callee_function from ce) and not (is_test or regexp_matches(cc.path, '^src/core(/|$)') or name in ('main', 'init', 'start', 'run', 'new') or starts_with(name, 'test_') or ends_with(name, '_test') "
+    r"or regexp_matches(string_split(ltrim(body, ' '), chr(10))[1], '^(pub[ (]|export |public |def __)') or ends_with(cc.path, 'lib.rs') or is_index) order by value desc, cc.path, function_id limit 50)"
+)
+metric("dead_functions", DEAD + " select * from dead", lambda x: structure.dead_functions(x, structure.complexity(x), CONFIG))
+
+# --- scores, rules, test gaps
+
+SCORES = GROUPS + DEAD.removeprefix(CODE) + CLOSED + (
+    f", k as (select {ratio('count(*) filter (fg <> tg and tg not in (select module from fo))', 'count(*)')} as unstable, {ratio('count(*) filter (fg <> tg)', 'count(*)')} as crossed from ge), "
+    "gv as (select value::double as x, row_number() over (order by value) as r, count(*) over () as n from cc), gi as (select round((2 * sum(r * x) / (any_value(n) * sum(x)) - (any_value(n) + 1.0) / any_value(n)) * 1000) / 1000 as gini from gv), "
+    "e1 as (select count(*) as n from fx where lines >= 0 group by case when lines = 0 then 0 else floor(log2(lines)) + 1 end), e2 as (select count(*) as n from cc group by value), "
+    "en as (select (select round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) * 1000) / 1000 from e1) as se, (select round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) * 1000) / 1000 from e2) as cce), "
+    f"rr as (select {ratio('((select count(*) from dead) + (select sum(size - 1) from dgs))', '(select count(*) from fn)')} as lost), "
+    "ro as (select round((1 - unstable) * 1000) / 1000 as modularity, round(1.0 / (1 + (select count(*) from cl where src = dst)) * 1000) / 1000 as acyclicity, round(1.0 / (1 + greatest(0, (select max(len(string_split(module, '.'))) from fx) - 4)) * 1000) / 1000 as depth, round(least(1.0, greatest(0.0, 1 - gini)) * 1000) / 1000 as equality, round(least(1.0, greatest(0.0, 1 - lost)) * 1000) / 1000 as redundancy, round((se + cce) / 2 * 1000) / 1000 as structural_uniformity from k, gi, en, rr), "
+    "q as (select *, round(10000 * exp((ln(greatest(modularity, 0.0001)) + ln(greatest(acyclicity, 0.0001)) + ln(greatest(depth, 0.0001)) + ln(greatest(equality, 0.0001)) + ln(greatest(redundancy, 0.0001))) / 5))::bigint as quality_signal from ro), "
+    "sc as (select *, round(quality_signal / 100.0)::bigint as score from q), sg as (select *, case when score / 100.0 >= 0.9 then 'A' when score / 100.0 >= 0.8 then 'B' when score / 100.0 >= 0.7 then 'C' when score / 100.0 >= 0.5 then 'D' else 'F' end as overall_grade from sc)"
+)
+metric("health_scores", SCORES + " select * from sg", lambda x: structure.scores(x, CONFIG), keep=True)
+
+LAYERED = "case when regexp_matches({0}, '^src/core(/|$)') then 0 when regexp_matches({0}, '^src(/|$)') then 1 when regexp_matches({0}, '^app(/|$)') then 2 end"
+NAMED = "['core', 'outer', 'app'][{0} + 1]"
+FINDINGS = SCORES + TOP.format("tin", "callee_function") + TOP.format("tout", "caller_function") + (
+    ", en2 as (select import_id, from_file, x.path as fp, y.path as tp, x.module as fm, y.module as tm, x.is_test as ft, y.is_test as tt, " + LAYERED.format("x.path") + " as la, " + LAYERED.format("y.path") + " as lb from im join pa x on x.file_id = from_file join pa y on y.file_id = resolved_file where resolved_file <> from_file), "
+    "up as (select * from en2 where la < lb), "
+    "fi as (select 'error' as severity, 'min_quality_signal' as code, '.' as path, printf('quality signal %d below minimum 9900', quality_signal) as message from sg where quality_signal < 9900 "
+    "union all select 'error', 'min_modularity', '.', printf('modularity %.3f below minimum 0.990', modularity) from sg where modularity < 0.99 "
+    "union all select 'error', 'max_cycles', '.', printf('%d cycle participants exceeds max 0', n) from (select count(*) as n from cl where src = dst) where n > 0 "
+    "union all select 'warning', 'max_coupling', '.', printf('cross-module ratio %.3f exceeds max 0.100', crossed) from k where crossed > 0.1 "
+    "union all select * from (select 'warning', 'max_function_complexity', path, printf('%s complexity %d exceeds max 3', name, value) from cc where value > 3 order by function_id limit 5) "
+    "union all select * from (select 'error', 'max_file_lines', path, printf('%d lines exceeds max 3000', lines) from fx where lines > 3000 order by file_id limit 20) "
+    "union all select * from (select 'error', 'max_function_lines', path, printf('%s has %d lines exceeding max 14', name, end_line - start_line + 1) from fn join fx using (file_id) where end_line - start_line + 1 > 14 order by function_id limit 5) "
+    "union all select 'warning', 'high_fan_in', path, printf('%d incoming dependency edges', fan_in) from (select * from dg order by fan_in + fan_out desc, fan_in desc, path limit 10) where fan_in >= 8 "
+    "union all select * from (select 'warning', 'no_god_files', d.path, printf('%d outgoing dependency edges', fan_out) from du d join pa using (file_id) where fan_out >= 6 and not is_test and not is_index order by fan_out desc, d.path limit 10) "
+    "union all select 'warning', 'production_depends_on_test', fp, 'depends on test path ' || tp from en2 where not ft and tt "
+    "union all select * from (select 'info', 'large_file', path, printf('%d lines', lines) from fx where lines >= 400 order by lines desc, path limit 20) "
+    "union all select 'info', 'large_file_summary', '.', printf('%d additional large files', n) from (select count(*) - 20 as n from fx where lines >= 400) where n > 0 "
+    "union all select 'info', 'low_call_resolution', '.', printf('%d of %d calls resolved (%.3f)', b, a, b::double / a) from (select (select count(*) from ca) as a, (select count(*) from ce) as b) where a >= 100 and b::double / a < 0.99 "
+    "union all select * from (select 'info', 'high_function_fan_in', path, printf('%s has %d resolved incoming calls', name, calls) from tin where calls >= 2 order by calls desc, path, name limit 5) "
+    "union all select * from (select 'info', 'high_function_fan_out', path, printf('%s has %d resolved outgoing calls', name, calls) from tout where calls >= 2 order by calls desc, path, name limit 5) "
+    "union all select 'warning', 'forbidden_module_edge', '.', printf('src -> app has %d dependency edges: no way back', n) from (select count(*) as n from en2 where regexp_split_to_array(fm, '[./]')[1] = 'src' and regexp_split_to_array(tm, '[./]')[1] = 'app') where n > 0 "
+    "union all select 'error', 'max_upward_layer_violations', '.', printf('%d upward layer violations exceeds max 1', n) from (select count(*) as n from up) where n > 1 "
+    "union all select 'warning', 'layer_order', fp, printf('%s depends upward on %s through %s', " + NAMED.format("la") + ", " + NAMED.format("lb") + ", tp) from up)"
+)
+metric("rule_findings", FINDINGS + " select * from fi", lambda x: rules.findings(x, CONFIG), keep=True)
+metric("rule_counts", FINDINGS + " select code as rule_id, count(*) as count from fi group by 1", lambda x: rules.rule_counts(rules.findings(x, CONFIG)), keep=True)
+query("structural_score", FINDINGS + " select greatest(0, 100 - least(80, 20 * (select count(*) from cl where src = dst)) - least(40, 4 * count(*) filter (severity = 'warning') + 10 * count(*) filter (severity = 'error')))::bigint as structural_score, case when count(*) filter (severity = 'error') > 0 then 1 else 0 end::bigint as exit_code from fi")(
+    lambda spark, d: _score_row(spark, baseline.shared(facts(spark, d)))
+)
+
+
+def _score_row(spark: SparkSession, x: Facts) -> DataFrame:
+    found = rules.findings(x, CONFIG)
+    cycles = graph.cycle_members(structure.file_edges(x)).count()
+    return spark.createDataFrame([(rules.structural_score(found, cycles), rules.check_exit(found))], "structural_score long, exit_code long")
+
+
+GAPS = (
+    r", pc as (select f.file_id, f.path, case language when 'java' then 'junit' when 'csharp' then 'dotnet' else language end as framework, a[-1] as file, regexp_replace(a[-1], '(.)\.[^.]*$', '\1') as stem, regexp_extract(a[-1], '.\.([^.]*)$', 1) as ext, regexp_replace(f.path, '/?[^/]*$', '') as parent from pa f where not is_test and file_id in (select file_id from fn)), "
+    r"px as (select file_id, path, framework, list_sort(list_distinct(list_concat(case when stem <> '' and ext <> '' then ['tests/' || stem || '_test.' || ext, 'tests/test_' || stem || '.' || ext, regexp_replace(parent || '/' || stem || '_test.' || ext, '^/+', ''), regexp_replace(parent || '/' || stem || '.test.' || ext, '^/+', '')] else [] end, "
+    r"case when starts_with(path, 'src/') then ['tests/' || substr(path, 5)] else [] end, case framework when 'rust' then ['tests/' || stem || '.rs', 'src/' || stem || '/tests.rs'] when 'python' then ['tests/test_' || stem || '.py'] when 'typescript' then [regexp_replace(parent || '/' || stem || '.spec.' || ext, '^/+', ''), regexp_replace(parent || '/' || stem || '.test.' || ext, '^/+', '')] else [] end))) as exp from pc), "
+    "gp as (select * from px where not list_has_any(exp, (select list(distinct path) from pa where is_test)))"
+)
+metric("test_gaps", GAPS + " select file_id, path, framework, array_to_string(exp, '|') as expected_tests from gp", lambda x: structure.test_gaps(x, CONFIG).withColumn("expected_tests", F.array_join("expected_tests", "|")))
+metric("test_gap_candidates", GAPS + " select file_id, path from gp order by path limit 100", lambda x: structure.test_gaps(x, CONFIG).orderBy("path").limit(100).select("file_id", "path"))
+
+ACTIONS = "case code " + " ".join(f"when '{k}' then '{v}'" for k, v in rules.ACTIONS.items()) + f" else '{rules.DEFAULT_ACTION}' end"
+metric(
+    "remediation_counts",
+    FINDINGS + f" select code, {ACTIONS} as action, count(*) as n from fi where code in ('max_cycles', 'min_quality_signal', 'min_modularity', 'max_coupling', 'max_function_complexity', 'max_function_lines', 'high_fan_in') group by 1, 2",
+    lambda x: rules.remediations(rules.findings(x, CONFIG), structure.test_gaps(x, CONFIG)).where(F.col("code").isin("max_cycles", "min_quality_signal", "min_modularity", "max_coupling", "max_function_complexity", "max_function_lines", "high_fan_in")).groupBy("code", "action").agg(F.count("*").alias("n")),
+    keep=True,
+)
+
+# --- baselines
+
+NOW = 1733011200
+PM = "round({0} * 1000)::bigint"
+HEALTH = FINDINGS + GAPS + (
+    ", hs as (select max(lines) as max_file_lines, count(*) filter (lines >= 500) as large_files from fx), hf as (select max(end_line - start_line + 1) as max_function_lines, count(*) filter (end_line - start_line + 1 >= 80) as long_functions from fn), "
+    "b1 as (select round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) * 1000) / 1000 as fb from e1), b2 as (select round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) * 1000) / 1000 as cb from e2), "
+    "hl as (select score, quality_signal, 100 - least(70, round((select count(*) filter (resolution = 'unresolved') * 100.0 / count(*) from im)))::bigint as coverage_score, (select greatest(0, 100 - least(80, 20 * (select count(*) from cl where src = dst)) - least(40, 4 * count(*) filter (severity = 'warning') + 10 * count(*) filter (severity = 'error')))::bigint from fi) as structural_score, "
+    + ", ".join(f"{PM.format(n)} as {n}_per_1000" for n in baseline.ROOTS[:5])
+    + ", (select count(*) from fx) as files, (select count(*) from fn) as functions, (select count(*) from im) as imports, (select count(*) from ca) as calls, (select count(*) from ce) as call_edges, "
+    + ", ".join(f"(select count(*) from im where resolution = '{r}') as {r}_imports" for r in ("local", "external", "system", "unresolved"))
+    + ", (select count(*) from ge where fg <> tg) as cross_module_edges, " + PM.format("crossed") + " as cross_module_ratio_per_1000, " + PM.format(ratio("(select count(*) from ce)", "(select count(*) from ca)")) + " as call_resolution_ratio_per_1000, "
+    "(select max(n) from (select count(*) as n from ce group by callee_function)) as max_function_fan_in, (select max(n) from (select count(*) as n from ce group by caller_function)) as max_function_fan_out, max_file_lines, max_function_lines, (select max(value) from cc)::bigint as max_function_complexity, (select round(round(avg(value) * 1000) / 1000 * 1000)::bigint from cc) as average_function_complexity_per_1000, "
+    + PM.format("gini") + " as complexity_gini_per_1000, " + PM.format("(1 - redundancy)") + " as redundancy_ratio_per_1000, large_files, long_functions, (select count(*) from pc) as production_files, (select count(*) from pa where is_test) as test_files, (select count(*) from gp) as files_without_nearby_tests, (select count(*) from ge where fg <> tg) as module_edges, 0::bigint as commits_sampled, "
+    + PM.format("se") + " as file_size_entropy_per_1000, " + PM.format("fb") + " as file_size_entropy_bits_per_1000, " + PM.format("cce") + " as complexity_entropy_per_1000, " + PM.format("cb") + " as complexity_entropy_bits_per_1000, " + PM.format("structural_uniformity") + " as structural_uniformity_per_1000, overall_grade as grade_overall, "
+    + ", ".join(f"case when {n} >= 0.9 then 'A' when {n} >= 0.8 then 'B' when {n} >= 0.7 then 'C' when {n} >= 0.5 then 'D' else 'F' end as grade_{n}" for n in baseline.ROOTS)
+    + " from sg, k, gi, en, hs, hf, b1, b2)"
+)
+metric("health_table", HEALTH + " select * from hl", lambda x: baseline.health(x, CONFIG, rules.findings(x, CONFIG)), keep=True)
+metric("arch_cycles_table", CLOSED + " select row_number() over (order by src) - 1 as cycle_id, path as module, 1::bigint as scc_size from cl join fx on file_id = src where src = dst order by src limit 20", baseline.file_cycles)
+
+
+def saved_store(spark: SparkSession, d: str):
+    """A store with the baseline of the catalogue, two commit relations among its facts."""
+    from factlens.plans.core_queries import commit_files, commits
+    from factlens.session import shared_dir
+    from factlens.sources.store import Store
+
+    x = facts(spark, d).replaced(commits=commits(spark, d), commit_files=commit_files(spark, d))
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    made = baseline.tables(x, CONFIG, NOW, "s1")
+    trend = {n: made.pop(n) for n in list(made) if n.startswith("trend_")}
+    store.save(made, "s1", NOW, manifest={"snapshot_id": "s1"}, trend=trend)
+    return store
+
+
+SAVED = (
+    FINDINGS
+    + ", lc as (select l_orderkey::varchar as c, l_partkey::varchar as path from lineitem group by 1, 2), fcc as (select path, count(*) as commits from lc group by 1), "
+    "n as (select 'files' as \"table\", count(*) as rows, 7 as columns from fx union all select 'functions', count(*), 6 from fn union all select 'entry_points', count(*), 4 from ep union all select 'imports', count(*), 7 from im union all select 'calls', count(*), 5 from ca "
+    "union all select 'call_edges', count(*), 4 from ce union all select 'types', count(*), 6 from ty union all select 'trait_impls', 0, 5 union all select 'health', 1, 48 union all select 'hotspots', least(10, count(*)), 5 from dg union all select 'rules', count(*), 4 from fi "
+    "union all select 'module_edges', least(10, count(*)), 3 from (select distinct fg, tg from ge where fg <> tg) union all select 'changed_files', least(10, count(*)), 2 from fcc union all select 'file_ownership', least(20, count(*)), 6 from fcc union all select 'temporal_hotspots', 0, 4 "
+    "union all select 'file_ages', 20, 5 union all select 'change_coupling', 20, 4 union all select 'inheritance', 0, 3 union all select 'arch_cycles', least(20, count(*)), 3 from cl where src = dst union all select 'arch_unstable', least(20, count(*)), 4 from st where module is not null or module is null union all select 'arch_foundations', least(20, count(*)), 4 from fo "
+    "union all select 'arch_levels', count(*), 2 from fx union all select 'arch_distance', least(20, count(distinct grp)), 8 from ty join gr using (file_id) union all select 'arch_violations', 20, 7 union all select 'trend_health', 1, 12 union all select 'trend_hotspots', 0, 6 union all select 'trend_violations', count(distinct code), 4 from fi union all select 'meta', 1, 5)"
+)
+query("baseline_tables", SAVED + ' select "table", rows, columns::int as columns from n where rows > 0 and "table" not in (\'change_coupling\', \'file_ages\')')(lambda spark, d: saved_store(spark, d).summary().where("rows > 0 and `table` not in ('change_coupling', 'file_ages')"))
+
+
+def without_hub(x: Facts) -> Facts:
+    """The facts without the file that most import."""
+    hub = structure.file_edges(x).groupBy("dst").count().orderBy(F.desc("count"), "dst").first()[0]
+    return whatif.remove_file(x, hub)
+
+
+HUB = "hub as (select arg_max(dst, (n, -dst)) as h from (select dst, count(*) as n from fe group by 1))"
+LESS = f", {HUB}, im2 as (select * from im where from_file <> (select h from hub) and coalesce(resolved_file, -1) <> (select h from hub)), fe2 as (select from_file as src, resolved_file as dst from im2 where resolved_file <> from_file), cl2(src, dst) as (select distinct src, dst from fe2 union select cl2.src, fe2.dst from cl2 join fe2 on fe2.src = cl2.dst)"
+COUNTS = "(select count(*) from {0}) as edge_count, (select count(resolved_file) from {0}) as resolved_edge_count, (select max(n) from (select count(*) as n from {1} group by dst)) as max_fan_in, (select max(n) from (select count(*) as n from {1} group by src)) as max_fan_out, (select count(*) from {2} where src = dst) as cycle_count"
+metric("whatif_remove_file", LESS + " select " + COUNTS.format("im2", "fe2", "cl2"), lambda x: structure.graph_metrics(without_hub(x)), keep=True)
+CUT = ", one as (select min((src, dst)) as e from fe), im3 as (select * from im where not (from_file = (select e[1] from one) and coalesce(resolved_file, -1) = (select e[2] from one)) union all select dst, '', src, 'local', null from (select e[1] as src, e[2] as dst from one where not exists (select 1 from fe where src = (select e[2] from one) and dst = (select e[1] from one)))), fe3 as (select from_file as src, resolved_file as dst from im3 where resolved_file <> from_file), cl3(src, dst) as (select distinct src, dst from fe3 union select cl3.src, fe3.dst from cl3 join fe3 on fe3.src = cl3.dst)"
+
+
+def edge_turned(x: Facts) -> Facts:
+    """The facts with the least edge turned round (only removed where the other way is there)."""
+    e = structure.file_edges(x)
+    first = e.orderBy("src", "dst").first()
+    a, b = first["src"], first["dst"]
+    steps: list[tuple] = [("remove_edge", a, b)]
+    if e.where((F.col("src") == b) & (F.col("dst") == a)).isEmpty():
+        steps.append(("add_edge", b, a))
+    return whatif.sequence(x, steps)
+
+
+metric("whatif_sequence", CUT + " select " + COUNTS.format("im3", "fe3", "cl3"), lambda x: structure.graph_metrics(edge_turned(x)), keep=True)
+metric("whatif_ignore", ", keepf as (select file_id from fx where not regexp_matches(path, '^src/core(/|$)')), im4 as (select * from im where from_file in (select file_id from keepf) and (resolved_file is null or resolved_file in (select file_id from keepf))), fe4 as (select from_file as src, resolved_file as dst from im4 where resolved_file <> from_file), cl4(src, dst) as (select distinct src, dst from fe4 union select cl4.src, fe4.dst from cl4 join fe4 on fe4.src = cl4.dst) select " + COUNTS.format("im4", "fe4", "cl4"), lambda x: structure.graph_metrics(whatif.ignore(x, ["src/core"])), keep=True)
+metric("whatif_move_file", f", {HUB} select file_id, 'moved/to/new_place.py' as path, case when language = 'python' then 'moved.to.new_place' else 'moved.to.new_place' end as module from fx where file_id = (select h from hub)", lambda x: _moved(x))
+
+
+def _moved(x: Facts) -> DataFrame:
+    hub = structure.file_edges(x).groupBy("dst").count().orderBy(F.desc("count"), "dst").first()[0]
+    return whatif.move_file(x, hub, "moved/to/new_place.py").files.where(F.col("file_id") == hub).select("file_id", "path", "module")
+
+
+def _two(x: Facts) -> tuple[dict, dict]:
+    a, b = ({"rules": f, "hotspots": structure.hotspots(y), "module_edges": structure.dsm(y, CONFIG)[1]} for y, f in ((z, rules.findings(z, CONFIG)) for z in (x, baseline.shared(without_hub(x)))))
+    return a, b
+
+
+metric("baseline_changes_hotspots", f", {HUB}, fe2 as (select * from fe where src <> (select h from hub) and dst <> (select h from hub)), d2 as (select path, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from fx left join (select dst, count(*) as n from fe2 group by 1) i on i.dst = file_id left join (select src, count(*) as n from fe2 group by 1) o on o.src = file_id where i.n is not null or o.n is not null), "
+    "ta as (select path from dg order by fan_in + fan_out desc, fan_in desc, path limit 10), tb as (select path from d2 order by fan_in + fan_out desc, fan_in desc, path limit 10), ma as (select fg || chr(31) || tg as key, count(*) as n from ge where fg <> tg group by 1, fg, tg order by 2 desc, fg, tg limit 10), mb as (select fg || chr(31) || tg as key, count(*) as n from ge where fg <> tg and src <> (select h from hub) and dst <> (select h from hub) group by 1, fg, tg order by 2 desc, fg, tg limit 10) "
+    "select 'hotspot' as kind, coalesce(ta.path, tb.path) as key, case when ta.path is null then 'added' else 'removed' end as change, null::bigint as before, null::bigint as after, null::bigint as delta from ta full join tb on ta.path = tb.path where ta.path is null or tb.path is null "
+    "union all select 'module_edge', coalesce(ma.key, mb.key), case when ma.key is null then 'added' when mb.key is null then 'removed' else 'changed' end, ma.n, mb.n, case when ma.key is not null and mb.key is not null then mb.n - ma.n end from ma full join mb on ma.key = mb.key where ma.n is distinct from mb.n",
+    lambda x: baseline.changes(*_two(x)).where("kind <> 'rule'"), keep=True)
