@@ -72,3 +72,21 @@ def drift(health: DataFrame, hotspots: DataFrame, violations: DataFrame, window:
     """What got worse in a window: dimensions, hotspots and rules; not available with fewer than two samples."""
     s = in_window(health, window, now)
     return {"available": s.limit(2).count() == 2, "dimensions": worsened(s), "hotspots": risen(s, hotspots, "path", "risk_score", n), "rules": risen(s, violations, "rule_id", "count", n)}
+
+
+def health_view(samples: DataFrame, n: int = 20) -> DataFrame:
+    """The n newest samples, newest first."""
+    o = ["timestamp", "seq"] if "seq" in samples.columns else ["timestamp", "snapshot_id"]
+    return samples.orderBy(*[F.desc(c) for c in o]).limit(n)
+
+
+def rules_view(samples: DataFrame, violations: DataFrame, n: int = 20) -> DataFrame:
+    """(timestamp, snapshot_id, rule_id, count) of samples, oldest first, within a sample the most broken rule first."""
+    rows = samples.select("timestamp", "snapshot_id").join(violations.select("snapshot_id", "rule_id", "count"), "snapshot_id")
+    return rows.select("timestamp", "snapshot_id", "rule_id", "count").orderBy("timestamp", "snapshot_id", F.desc("count"), "rule_id").limit(n)
+
+
+def hotspots_view(samples: DataFrame, hotspots: DataFrame, n: int = 20) -> DataFrame:
+    """(timestamp, snapshot_id, path, risk_score) of samples, oldest first, within a sample the greatest risk first."""
+    rows = samples.select("timestamp", "snapshot_id").join(hotspots.select("snapshot_id", "path", "risk_score"), "snapshot_id")
+    return rows.select("timestamp", "snapshot_id", "path", "risk_score").orderBy("timestamp", "snapshot_id", F.desc("risk_score"), "path").limit(n)
