@@ -91,14 +91,20 @@ class Datoms:
         return self.facts.where(F.col("a") == relation.lstrip(":")).select(F.col("e").alias("c0"), F.col("v").alias("c1"))
 
     def _join(self, atoms: list[Atom], tables: list[DataFrame]) -> DataFrame:
-        out = None
-        for atom, table in zip(atoms, tables, strict=True):
-            part = self._match(atom, table)
-            if out is None:
-                out = part
-            else:
-                shared = [c for c in part.columns if c in out.columns]
-                out = out.join(part, shared) if shared else out.crossJoin(part)
+        parts = [self._match(atom, table) for atom, table in zip(atoms, tables, strict=True)]
+        out = parts.pop(0)
+        while parts:
+            # An atom that shares a variable comes next; one that shares none with any other may only ask whether it holds.
+            at = next((i for i, p in enumerate(parts) if set(p.columns) & set(out.columns)), None)
+            if at is not None:
+                part = parts.pop(at)
+                out = out.join(part, [c for c in part.columns if c in out.columns])
+                continue
+            part = parts.pop(0)
+            if part.columns and out.columns:
+                raise ValueError("atoms without a shared variable would pair every row with every other; join them by a variable")
+            one = F.broadcast(part.limit(1)) if not part.columns else F.broadcast(out.limit(1))
+            out = out.crossJoin(one) if not part.columns else part.crossJoin(one)
         return out
 
     def relation(self, name: str) -> DataFrame:

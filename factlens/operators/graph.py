@@ -49,7 +49,7 @@ def reach(edges: DataFrame, starts: DataFrame, least: int = 0, most: int | None
     def go(new: DataFrame, n: int) -> DataFrame:
         return new.join(step, new["node"] == step["src"]).select(F.col("dst").alias("node"), F.lit(n).alias("depth"))
 
-    return grow(first, go, ["node"], most if most is not None else 10_000).where(F.col("depth") >= least)
+    return grow(first, go, ["node"], most).where(F.col("depth") >= least)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -310,8 +310,88 @@ def random_walk(edges: DataFrame, starts: DataFrame, length: int, seed: int = 7)
     return out
 
 
+#: Edges that a depth-first order may hold at once: the order is sequential by nature.
+DFS_EDGES = 5_000_000
+
+
+def dfs(edges: DataFrame, start: object) -> DataFrame:
+    """(_node, _depth, _order) of what `start` reaches, in depth-first preorder, the least neighbour first.
+
+    What is reached is found by the distributed search first. A depth-first order needs the whole of it in one place: with
+    over DFS_EDGES edges it is refused, never cut.
+    """
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["src"]
+    inside = reach(edges, spark.createDataFrame([(start,)], f"node {kind}")).select(F.col("node").alias("src"))
+    step = checkpointed(simple(edges).join(inside, "src", "left_semi").select("src", "dst"))
+    if step.limit(DFS_EDGES + 1).count() > DFS_EDGES:
+        raise ValueError(f"more than {DFS_EDGES} edges are no depth-first order")
+    out: dict = {}
+    for r in step.toLocalIterator():
+        out.setdefault(r["src"], []).append(r["dst"])
+    rows, seen, stack = [], set(), [(start, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node in seen:
+            continue
+        seen.add(node)
+        rows.append((node, depth, len(rows)))
+        stack += [(n, depth + 1) for n in sorted(out.get(node, ()), reverse=True) if n not in seen]
+    return spark.createDataFrame(rows, f"_node {kind}, _depth int, _order long")
+
+
+def modularity(both: DataFrame, label: DataFrame) -> float:
+    """The modularity of a labelling (node, label) over an undirected weight table (src, dst, w) that holds both directions."""
+    j = both.join(label.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+    by = j.groupBy(F.col("a").alias("label")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inner"))
+    r = by.agg(F.sum("k").alias("m"), F.sum("inner").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk")).first()
+    return r["i"] / r["m"] - r["kk"] / (r["m"] * r["m"]) if r["m"] else 0.0
+
+
+def louvain(edges: DataFrame, rounds: int = 8, phases: int = 10) -> DataFrame:
+    """(_node, _community): phases of moving nodes to the neighbouring community of most modularity gain, then merging each community to a node.
+
+    Edges are taken without direction, parallel ones add up; a community is named by its least node. In a round only the
+    nodes of one half move, so that neighbours do not swap for ever; a phase that does not raise the modularity ends the search.
+    """
+    und = edges.where("src is not null and dst is not null and src <> dst")
+    both = und.select("src", "dst").union(reverse(und).select("src", "dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    both = first = settled(both)
+    home = settled(nodes(edges).select("node", F.col("node").alias("label")))
+    best = modularity(first, home)
+    for _ in range(phases):
+        degree = settled(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+        m = degree.agg(F.sum("k")).first()[0]
+        if not m:
+            break
+        label = settled(degree.select("node", F.col("node").alias("label"), "k"))
+        for n in range(rounds):
+            total = label.groupBy("label").agg(F.sum("k").alias("tot"))
+            into = both.where("src <> dst").join(label.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("inner"))
+            own = label.select("node", "label", F.lit(0.0).alias("inner"))
+            options = into.unionByName(own).groupBy("node", "label").agg(F.max("inner").alias("inner")).join(total, "label").join(label.select("node", F.col("label").alias("now"), "k"), "node")
+            rest = F.col("tot") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("inner") - rest * F.col("k") / F.lit(m), 9)
+            choice = options.groupBy("node").agg(F.max_by("label", F.struct(gain.alias("g"), (F.col("label") == F.col("now")).alias("s"), F.col("label"))).alias("new"))
+            turn = F.pmod(F.xxhash64("node"), F.lit(2)) == n % 2
+            after = settled(label.join(choice, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), "k", (turn & (F.col("new") != F.col("label"))).alias("moved")))
+            moved = not after.where("moved").isEmpty()
+            label = after.select("node", "label", "k")
+            if not moved and n:
+                break
+        merged = settled(home.join(label.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        now = modularity(first, merged)
+        if now <= best + 1e-9:
+            break
+        best, home = now, merged
+        ends = label.select("node", "label")
+        both = settled(both.join(ends.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(ends.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    least = home.groupBy("label").agg(F.min("node").alias("c"))
+    return home.join(least, "label").select(F.col("node").alias("_node"), F.col("c").alias("_community"))
+
+
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(_node, _community): rounds of moving each node to the community it has most edges to, the least on ties; the answer to `louvain`, without its modularity phases."""
+    """(_node, _community): rounds of moving each node to the community it has most edges to, the least on ties."""
     both = checkpointed(simple(edges).union(reverse(simple(edges)).select("src", "dst")).distinct())
     label = checkpointed(nodes(edges).withColumn("label", F.col("node")))
     for n in range(rounds):

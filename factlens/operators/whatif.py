@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factlens.functions import scalars as S
 from factlens.operators import graph, structure
 from factlens.operators.facts import Facts
+from factlens.session import checkpointed
 
 
 class WhatIfError(ValueError):
@@ -88,30 +89,43 @@ def ignore(facts: Facts, patterns: list[str]) -> Facts:
 def cycle_breaks(facts: Facts, candidates: int = 500, limit: int = 20) -> DataFrame:
     """(src, dst, reduction) of local edges whose removal takes most files off cycles, greatest first.
 
-    Only edges inside a strong component can; the first `candidates` of them, by (src, dst), are tried. Each component
-    is handed to one task per candidate edge, so components must fit a task (edges between files of one cycle).
+    Only edges inside a strong component can; the first `candidates` of them, by (src, dst), are tried, as the result of a
+    what-if is a short list by its feature. The edges inside components are broadcast once (CORE_EDGES at most, more are
+    refused), and each candidate is tried against its own component.
     """
     edges = structure.file_edges(facts)
     scc = graph.strong_components(edges)
-    inside = graph.simple(edges).join(scc.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst").where("c = d").select("c", "src", "dst")
+    inside = checkpointed(graph.simple(edges).join(scc.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst").where("c = d").select("c", "src", "dst"))
+    if inside.limit(CORE_EDGES + 1).count() > CORE_EDGES:
+        raise WhatIfError(f"more than {CORE_EDGES} edges lie inside cycles")
     local = graph.simple(structure.file_edges(facts, True)).join(inside, ["src", "dst"]).orderBy("src", "dst").limit(candidates)
-    jobs = local.select("c", F.col("src").alias("a"), F.col("dst").alias("b")).join(inside, "c")
+    by: dict = {}
+    for r in inside.toLocalIterator():
+        by.setdefault(r["c"], []).append((r["src"], r["dst"]))
+    core = facts.files.sparkSession.sparkContext.broadcast(by)
 
-    def left_on_cycles(pdf):
+    def tried(batches):
         import pandas as pd
 
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        out: dict = {}
-        nodes = set(pdf["src"]) | set(pdf["dst"])
-        for s, t in zip(pdf["src"], pdf["dst"], strict=True):
-            if (s, t) != (a, b):
-                out.setdefault(s, []).append(t)
-        return pd.DataFrame({"src": [a], "dst": [b], "reduction": [len(nodes) - len(_on_cycles(nodes, out))]})
-
-    done = jobs.groupBy("c", "a", "b").applyInPandas(left_on_cycles, "src long, dst long, reduction long")
+        for b in batches:
+            rows = []
+            for c, a, z in zip(b["c"], b["src"], b["dst"], strict=True):
+                nodes, out = set(), {}
+                for s, t in core.value[c]:
+                    nodes |= {s, t}
+                    if (s, t) != (a, z):
+                        out.setdefault(s, []).append(t)
+                rows.append((a, z, len(nodes) - len(_on_cycles(nodes, out))))
+            yield pd.DataFrame(rows, columns=["src", "dst", "reduction"])
+
+    done = local.select("c", "src", "dst").repartition(min(candidates, 64), "src", "dst").mapInPandas(tried, "src long, dst long, reduction long")
     return done.where("reduction > 0").orderBy(F.desc("reduction"), "src", "dst").limit(limit)
 
 
+#: Edges inside cycles that every task of `cycle_breaks` may hold.
+CORE_EDGES = 1_000_000
+
+
 def _on_cycles(nodes: set, out: dict) -> set:
     """Nodes in strong components of more than one node, by an iterative depth-first search with low links."""
     index: dict = {}

@@ -260,18 +260,18 @@ def closure_reach(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(e, e.where("src like 'app.core%'").select(F.col("src").alias("node"))).select("node")
 
 
-@query("bfs_depth", f"with recursive {EDGES}, r(node, depth) as (select distinct src, 0 from e where starts_with(src, 'lib.') union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 12) select node, min(depth)::int as depth from r group by 1")
+@query("bfs_depth", f"with recursive {EDGES}, r(node, depth) as (select distinct src, 0 from e where starts_with(src, 'lib.') union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 400) select node, min(depth)::int as depth from r group by 1")
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
     """Fewest steps from the modules under lib."""
     e = edges(spark, d)
-    return graph.reach(e, e.where("src like 'lib.%'").select(F.col("src").alias("node")), 0, 12)
+    return graph.reach(e, e.where("src like 'lib.%'").select(F.col("src").alias("node")))
 
 
-@query("blast_radius", f"with recursive {EDGES}, r(node, depth) as (select 'src.core.model', 0 union select e.src, r.depth + 1 from r join e on e.dst = r.node where r.depth < 12) select node, min(depth)::int as depth from r where node <> 'src.core.model' group by 1")
+@query("blast_radius", f"with recursive {EDGES}, r(node, depth) as (select 'src.core.model', 0 union select e.src, r.depth + 1 from r join e on e.dst = r.node where r.depth < 400) select node, min(depth)::int as depth from r where node <> 'src.core.model' group by 1")
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     """What depends on one module, by distance."""
     e = edges(spark, d)
-    return graph.reach(graph.reverse(e), spark.createDataFrame([("src.core.model",)], "node string"), 1, 12)
+    return graph.blast_radius_of(e, spark.createDataFrame([("src.core.model",)], "node string"))
 
 
 @query("cycle_members", f"with recursive {EDGES}, c(src, dst) as (select src, dst from e union select c.src, e.dst from c join e on e.src = c.dst) select src as node from c where src = dst")
@@ -443,8 +443,7 @@ def edit_risk(spark: SparkSession, d: str) -> DataFrame:
 @query("trend_top_hotspots", "select path, max(risk_score) as risk_score from trend_hotspots group by 1 order by 2 desc nulls last, 1 limit 5")
 def trend_top_hotspots(spark: SparkSession, d: str) -> DataFrame:
     """The greatest risks over all samples."""
-    g = table(spark, d, "trend_hotspots").groupBy("path").agg(F.max("risk_score").alias("risk_score"))
-    return g.orderBy(F.desc_nulls_last("risk_score"), "path").limit(5)
+    return trend.top_hotspots(table(spark, d, "trend_hotspots"))
 
 
 SAMPLES = "s as (select distinct epoch(taken_at)::bigint as timestamp, snapshot_id from snapshots where taken_at is not null and snapshot_id is not null)"

@@ -18,6 +18,7 @@ from factlens.operators import baseline, graph, rules, structure, whatif
 from factlens.operators.facts import Facts, of
 from factlens.plans import tools
 from factlens.session import table
+from factlens.sources import scan
 from factlens.sources.config import Config, Forbidden, Layer, Limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,3 +443,43 @@ metric("baseline_changes_hotspots", f", {HUB}, fe2 as (select * from fe where sr
     "select 'hotspot' as kind, coalesce(ta.path, tb.path) as key, case when ta.path is null then 'added' else 'removed' end as change, null::bigint as before, null::bigint as after, null::bigint as delta from ta full join tb on ta.path = tb.path where ta.path is null or tb.path is null "
     "union all select 'module_edge', coalesce(ma.key, mb.key), case when ma.key is null then 'added' when mb.key is null then 'removed' else 'changed' end, ma.n, mb.n, case when ma.key is not null and mb.key is not null then mb.n - ma.n end from ma full join mb on ma.key = mb.key where ma.n is distinct from mb.n",
     lambda x: baseline.changes(*_two(x)).where("kind <> 'rule'"), keep=True)
+
+query("cycle_breaks")(lambda spark, d: whatif.cycle_breaks(baseline.shared(facts(spark, d)), 60))
+
+# --- facts of source texts
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    """The current texts as a scan reads them."""
+    return texts(spark, d, files(spark, d)).where("language is not null").withColumn("lines", F.size(F.split("content", "\n")).cast("long"))
+
+
+LINES = "ln as (select file_id, language, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line from tx where language is not null)"
+SEEN = "case when starts_with(s, 'pub(') then 'crate' when starts_with(s, 'protected internal ') then 'protected' when starts_with(s, 'private protected ') then 'private' when starts_with(s, 'pub ') or starts_with(s, 'public ') or starts_with(s, 'export ') or starts_with(s, 'open ') then 'public' when starts_with(s, 'private ') or starts_with(s, 'fileprivate ') then 'private' when starts_with(s, 'protected ') then 'protected' when starts_with(s, 'internal ') then 'package' else 'unknown' end"
+
+
+def quoted(pattern: str) -> str:
+    """A pattern as an SQL text."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+query("scan_types", f", {LINES}, t as (select *, ltrim(text, ' ') as s, regexp_extract(text, {quoted(scan.TYPES)}, 2) as name from ln) select file_id, name, regexp_matches(text, {quoted(scan.ABSTRACT)}) as is_abstract, line, {SEEN} as visibility from t where name <> ''")(lambda spark, d: scan.types(found(spark, d)))
+NAMED_BY = "case language " + " ".join(f"when '{k}' then regexp_extract(text, {quoted(v)}, 1)" for k, v in scan.FUNCTIONS.items()) + " else '' end"
+query("scan_functions", f", {LINES}, t as (select *, ltrim(text, ' ') as s, {NAMED_BY} as name from ln) select file_id, name, line as start_line, {SEEN} as visibility from t where name <> ''")(
+    lambda spark, d: scan.functions(found(spark, d).where(F.col("language").isin(*scan.FUNCTIONS))).select("file_id", "name", "start_line", "visibility")
+)
+IMPORTED = {k: v for k, v in scan.IMPORTS.items() if k not in ("rust", "scala")}
+TARGET = "case language " + " ".join(f"when '{k}' then coalesce(nullif(regexp_extract(text, {quoted(v)}, 1), ''), nullif(regexp_extract(text, {quoted(v)}, 2), ''))" for k, v in IMPORTED.items()) + " end"
+query("scan_imports", f", {LINES}, t as (select *, trim({TARGET}) as target from ln) select file_id as from_file, target, line from t where target is not null and target <> ''")(lambda spark, d: scan.imports(found(spark, d).where(F.col("language").isin(*IMPORTED))).select("from_file", "target", "line"))
+CALLS = ", ".join(f"'{w}'" for w in [*S.KEYWORDS, *S.BRANCH_WORDS, "def", "fn", "func", "fun", "function", "new", "sizeof"])
+query(
+    "scan_calls",
+    f", {LINES}, dc as (select distinct file_id, line, {NAMED_BY} as name from ln), t as (select file_id, line, unnest(regexp_extract_all(text, '\\b([A-Za-z_]\\w*)\\s*\\(', 1)) as target from ln where language in ('python', 'rust', 'kotlin', 'swift')) select t.file_id, target, count(*) as n from t where target not in ({CALLS}) and not exists (select 1 from dc where dc.file_id = t.file_id and dc.line = t.line and dc.name = target) group by 1, 2",
+)(lambda spark, d: _calls(found(spark, d).where("language in ('python', 'rust', 'kotlin', 'swift')")))
+
+
+def _calls(f: DataFrame) -> DataFrame:
+    return scan.calls(f, scan.functions(f)).groupBy("file_id", "target").agg(F.count("*").alias("n"))
+
+
+query("scan_trait_impls", f", {LINES}, t as (select file_id, regexp_extract(text, {quoted(scan.IMPL)}, 1) as trait_name, regexp_extract(text, {quoted(scan.IMPL)}, 2) as type_name, line from ln where language = 'rust') select * from t where trait_name <> '' and type_name <> ''")(lambda spark, d: scan.trait_impls(found(spark, d)))

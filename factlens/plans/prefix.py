@@ -10,6 +10,7 @@ the aggregate over the values of a column, rank ties go to the smaller node, `ip
 from __future__ import annotations
 
 import operator
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.operators import datalog, graph, vectors
+from factlens.operators import datalog, graph, vector_index, vectors
 from factlens.plans.reader import Bracket, EvalError, Pairs, Quoted, Symbol, read
 
 CLAUSES = ("from", "where", "by", "asc", "desc", "take", "pivot")
@@ -63,7 +64,7 @@ class Engine:
             "select": self._select, "count": self._count, "at": self._at, "in": self._in, "and": self._logic, "or": self._logic, "not": self._not, "if": self._if,
             "set": self._set, "do": self._do, "quote": lambda s, a: self._quoted(a[0]), "fn": lambda s, a: Lambda([p.name for p in a[0]], a[1:], s.names), "list": lambda s, a: [self.eval(s, x) for x in a],
             "table": self._table, "dict": self._dict, "concat": self._concat, "distinct": self._distinct, "insert": self._insert,
-            "cos-dist": self._distance("cosine"), "l2-dist": self._distance("l2"), "inner-prod": self._pairwise(vectors.inner), "norm": lambda s, a: self._value(vectors.norm(self._array(s, a[0]))), "knn": self._knn, "ann": self._knn,
+            "cos-dist": self._distance("cosine"), "l2-dist": self._distance("l2"), "inner-prod": self._pairwise(vectors.inner), "norm": lambda s, a: self._value(vectors.norm(self._array(s, a[0]))), "knn": self._knn, "ann": self._ann, "hnsw-build": self._index, "hnsw-save": self._index_save, "hnsw-load": lambda s, a: vector_index.load(self.spark, self.eval(s, a[0])), "hnsw-info": lambda s, a: self.eval(s, a[0]).info(), "timer": self._timer,
             "datoms": lambda s, a: datalog.Datoms.empty(self.spark), "assert-fact": self._fact(True), "retract-fact": self._fact(False), "rule": self._rule, "query": self._query,
         }
         for name in ("build", "info", "pagerank", "degree", "topsort", "connected", "expand", "var-expand", "shortest-path", "dijkstra", "k-shortest", "cluster", "betweenness", "closeness", "louvain", "mst", "random-walk", "dfs", "free"):
@@ -453,7 +454,7 @@ class Engine:
                 "topsort": lambda: graph.topological(g),
                 "connected": lambda: graph.components(g),
                 "expand": lambda: graph.reach(g, self._node_table(g, rest[0])).select(F.col("node").alias("_node"), F.col("depth").alias("_depth")),
-                "dfs": lambda: graph.reach(g, self._node_table(g, rest[0])).select(F.col("node").alias("_node"), F.col("depth").alias("_depth")).orderBy("_depth", "_node"),
+                "dfs": lambda: graph.dfs(g, rest[0]),
                 "var-expand": lambda: graph.reach(g, self._node_table(g, rest[0]), *rest[1:]).select(F.col("node").alias("_node"), F.col("depth").alias("_depth")),
                 "shortest-path": lambda: graph.shortest_path(g, rest[0], rest[1]),
                 "dijkstra": lambda: graph.shortest(g, self._node_table(g, rest[0]), weight).select(F.col("node").alias("_node"), F.col("distance").alias("_dist")),
@@ -461,7 +462,7 @@ class Engine:
                 "cluster": lambda: graph.clustering(g),
                 "betweenness": lambda: graph.betweenness(g),
                 "closeness": lambda: graph.closeness(g),
-                "louvain": lambda: graph.label_communities(g),
+                "louvain": lambda: graph.louvain(g),
                 "mst": lambda: graph.spanning_forest(g if weight else g.withColumn("weight", F.lit(1.0))),
                 "random-walk": lambda: graph.random_walk(g, self._node_table(g, rest[0]), *rest[1:]),
             }
@@ -510,18 +511,46 @@ class Engine:
     def _pairwise(self, f: Callable) -> Callable:
         return lambda s, a: self._value(f(self._array(s, a[0]), self._array(s, a[1])), s)
 
-    def _knn(self, s: Scope, args: list) -> DataFrame:
-        source, query, k = self.eval(s, args[0]), self.eval(s, args[1]), self.eval(s, args[2])
-        metric = self.eval(s, args[3]) if len(args) > 3 else "cosine"
+    def _vectors(self, source: Any) -> tuple[DataFrame, str, Column]:
+        """(table, key, vector) of a list of vectors or a table with a key and either an array or wide components."""
         if isinstance(source, list):
             df = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(source)], "_rowid long, v array<double>")
-            return vectors.knn(df, "_rowid", F.col("v"), query, k, metric)
+            return df, "_rowid", F.col("v")
         if isinstance(source, DataFrame):
             arrays = [c for c, t in source.dtypes if t.startswith("array<")]
-            vector = F.col(f"`{arrays[0]}`") if arrays else vectors.wide(source)
-            key = next(c for c, t in source.dtypes if t in ("bigint", "int"))
-            return vectors.knn(source, key, vector, query, k, metric)
-        raise EvalError("type", "knn wants vectors")
+            return source, next(c for c, t in source.dtypes if t in ("bigint", "int")), F.col(f"`{arrays[0]}`") if arrays else vectors.wide(source)
+        raise EvalError("type", "vectors are wanted")
+
+    def _index(self, s: Scope, args: list) -> vector_index.Index:
+        metric = self.eval(s, args[1]) if len(args) > 1 else "cosine"
+        return vector_index.build(*self._vectors(self.eval(s, args[0])), metric)
+
+    def _index_save(self, s: Scope, args: list) -> vector_index.Index:
+        index = self.eval(s, args[0])
+        index.save(self.eval(s, args[1]))
+        return index
+
+    def _ann(self, s: Scope, args: list) -> DataFrame:
+        index = self.eval(s, args[0])
+        if not isinstance(index, vector_index.Index):
+            raise EvalError("type", "ann wants an index; build one with hnsw-build")
+        return index.nearest([float(x) for x in self.eval(s, args[1])], self.eval(s, args[2]))
+
+    def _timer(self, s: Scope, args: list) -> Any:
+        """(timer ms n f): calls f with the number of the call, n times (n of 0 is refused, as it never ends), `ms` apart; the last value."""
+        ms, n, fn = (self.eval(s, a) for a in args[:3])
+        if not isinstance(fn, Lambda) or n <= 0:
+            raise EvalError("domain", "timer wants milliseconds, a count and a function")
+        value = None
+        for i in range(n):
+            time.sleep(ms / 1000 if i else 0)
+            value = self._call(s, fn, [i] if fn.params else [])
+        return value
+
+    def _knn(self, s: Scope, args: list) -> DataFrame:
+        source, query, k = self.eval(s, args[0]), self.eval(s, args[1]), self.eval(s, args[2])
+        metric = self.eval(s, args[3]) if len(args) > 3 else "cosine"
+        return vectors.knn(*self._vectors(source), query, k, metric)
 
 
 def _logic_of(engine: Engine, name: str) -> Callable:

@@ -11,19 +11,29 @@ from pyspark.sql import functions as F
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 
 
-def sarif(findings: DataFrame, tool: str = "factlens", root: str = "") -> str:
-    """A SARIF 2.1.0 document: one rule per code with its first message, one result per finding, paths relative to the root.
+def sarif(findings: DataFrame, tool: str = "factlens", root: str = "", properties: dict | None = None) -> str:
+    """A SARIF 2.1.0 document: one rule per code with its first message, in the order of the findings, and one result per finding, paths relative to the root.
 
-    The document is a driver-side string by nature; findings are bounded by the rules' own limits.
+    `properties` are those of the run (snapshot, scores). The document is a driver-side string by nature; findings are bounded by the rules' own limits.
     """
-    prefix = root.rstrip("/") + "/"
-    rows = [(r["severity"], r["code"], r["path"].replace("\\", "/").removeprefix(prefix), r["message"]) for r in findings.select("severity", "code", "path", "message").toLocalIterator()]
-    first: dict[str, str] = {}
-    for _, code, _, message in rows:
-        first.setdefault(code, message)
-    results = [{"ruleId": c, "level": LEVELS.get(s, "note"), "message": {"text": m}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": p}, "region": {"startLine": 1}}}]} for s, c, p, m in rows]
-    rules = [{"id": c, "shortDescription": {"text": m}} for c, m in sorted(first.items())]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]})
+    prefix = root.replace("\\", "/").rstrip("/")
+    first: dict[str, tuple[str, str]] = {}
+    results = []
+    for r in findings.select("severity", "code", "path", "message").toLocalIterator():
+        level, path = LEVELS.get(r["severity"], "note"), r["path"].replace("\\", "/")
+        first.setdefault(r["code"], (level, r["message"]))
+        inside = path == prefix or path.startswith(prefix + "/")
+        uri = (path[len(prefix) :].lstrip("/") if prefix and inside else path) or "."
+        place = {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": 1}}}
+        results.append({"ruleId": r["code"], "level": level, "message": {"text": r["message"]}, "locations": [place]})
+    rules = [{"id": c, "name": c, "shortDescription": {"text": c}, "fullDescription": {"text": m}, "defaultConfiguration": {"level": level}} for c, (level, m) in first.items()]
+    run = {"tool": {"driver": {"name": tool, "rules": rules}}, "properties": properties or {}, "results": results}
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]})
+
+
+def health_text(row: dict) -> str:
+    """The health row as lines `name: value`, grades last."""
+    return "".join(f"{k}: {v}\n" for k, v in sorted(row.items(), key=lambda kv: kv[0].startswith("grade")))
 
 
 def tsv(df: DataFrame) -> DataFrame:

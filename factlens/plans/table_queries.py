@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions import scalars as S
-from factlens.operators import datalog, graph, trend
+from factlens.operators import datalog, graph, trend, vector_index
 from factlens.plans import prefix, reports, typed_query
 from factlens.plans.core_queries import EDGES, edges
 from factlens.session import shared_dir, table
@@ -332,10 +332,25 @@ def _peeled(rounds: int) -> str:
             f"l{i + 1} as materialized (select l.node, greatest(level, coalesce(up, level)) as level from l{i} l left join (select dst as node, max(f.level) + 1 as up from e{i} join f{i} f on f.node = src group by 1) u on u.node = l.node), "
             f"e{i + 1} as materialized (select * from e{i} where src not in (select node from f{i})), p{i + 1} as materialized (select node from p{i} union select node from f{i})"
         )
-    return ", ".join(parts) + f" select node, level::int as level from l{rounds}"
+    return ", ".join(parts)
 
 
-ORACLE["levels_cyclic"] = _peeled(12)
+ORACLE["levels_cyclic"] = _peeled(12) + " select node, level::int as level from l12"
+query("topological_cyclic", _peeled(12) + ", o as (" + " union all ".join(f"select node, {i} as round from f{i}" for i in range(12)) + ") select node as _node, row_number() over (order by round, node) - 1 as _order from o")(lambda spark, d: graph.topological(edges(spark, d)))
+query("graph_dfs")(lambda spark, d: graph.dfs(edges(spark, d), "src.core"))
+query("graph_louvain")(lambda spark, d: graph.louvain(edges(spark, d)))
+query("graph_betweenness")(lambda spark, d: graph.betweenness(edges(spark, d), edges(spark, d).where("src like 'lib.core%'").select(F.col("src").alias("node")).distinct()))
+query("graph_random_walk")(lambda spark, d: graph.random_walk(edges(spark, d), spark.createDataFrame([("src.core",), ("app.core",)], "node string"), 8))
+
+
+@query("vector_index")
+def vector_index_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten rows nearest to one, by a saved index that is loaded again."""
+    e = table(spark, d, "embeddings")
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build(e, "vec_id", F.col("embedding")).save(path)
+    first = e.where("vec_id = 0").select("embedding").first()[0]
+    return vector_index.load(spark, path).nearest(first, 10).withColumn("_dist", F.round("_dist", 9))
 
 
 @query("event_sessions", "with e as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minute then 1 else 0 end as cut from events window w as (partition by user_id order by ts)), g as (select *, sum(cut) over (partition by user_id order by ts, cut desc rows unbounded preceding) as k from e) select user_id, min(ts) as start, max(ts) + interval 30 minute as \"end\", count(*) as n from g group by user_id, k")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.operators import diff, evolution, graph, rules, structure, trend, whatif
-from factlens.operators.facts import Facts
+from factlens.operators import baseline, diff, evolution, graph, rules, structure, trend, whatif
+from factlens.operators.facts import Facts, of
 from factlens.plans import policies, prefix, reports, typed_query
-from factlens.sources.config import PRESETS, Config, dump
+from factlens.sources import plugins, scan
+from factlens.sources.config import PRESETS, Config, dump, load, write
 from factlens.sources.store import Store
 
 
@@ -86,9 +88,52 @@ def session_end(before: dict[str, Any], facts: Facts, config: Config) -> dict[st
     return {"passes": diff.session_passes(before["score"], score, before["rules"], found), "score_delta": score - before["score"], "added": diff.added_rules(before["rules"], found)}
 
 
+def scan_report(spark: SparkSession, root: str, config: Config | None = None) -> dict[str, DataFrame]:
+    """The fact relations of a source tree."""
+    return scan.facts(scan.read_tree(spark, root, [*(config.ignored_paths + config.generated_paths if config else [])]))
+
+
+def rescan(spark: SparkSession, root: str, config: Config) -> dict[str, Any]:
+    """A scan with its scores."""
+    f = of(spark, **scan_report(spark, root, config))
+    return {"facts": f, "scores": structure.scores(f, config)}
+
+
+def saved_baseline(store: Store, facts: Facts, config: Config, now: int, snapshot_id: str) -> dict[str, DataFrame]:
+    """Saves the baseline of the facts: one trend sample is appended, then all tables are written."""
+    made = baseline.tables(facts, config, now, snapshot_id)
+    rows = {n: made[n] for n in made if not n.startswith("trend_")}
+    store.save(rows, snapshot_id, now, manifest={"snapshot_id": snapshot_id}, trend={n: made[n] for n in made if n.startswith("trend_")})
+    return made
+
+
+def treemap(facts: Facts, n: int = 500) -> str:
+    """A page with the n largest files as boxes by size, named by path."""
+    rows = facts.files.where("lines > 0").orderBy(F.desc("lines"), "path").select("path", "lines").limit(n).collect()
+    boxes = "".join(f'<div title="{html.escape(r["path"], True)}" style="flex:{r["lines"]} 1 {max(20, int(r["lines"] ** 0.5) * 4)}px">{html.escape(r["path"].rsplit("/", 1)[-1])}</div>' for r in rows)
+    return f'<!DOCTYPE html><meta charset="utf-8"><title>files by size</title><style>body{{display:flex;flex-wrap:wrap;font:11px sans-serif}}div{{border:1px solid #999;padding:2px;overflow:hidden;height:40px}}</style>{boxes}'
+
+
+def limited(items: DataFrame, n: int) -> DataFrame:
+    """The first n items in their order."""
+    return items.limit(n)
+
+
 #: Every tool by name.
 TOOLS: dict[str, Callable] = {
-    "config_read": dump,
+    "config_read": load,
+    "config_write": write,
+    "scan": scan_report,
+    "rescan": rescan,
+    "visualize": treemap,
+    "plugins": lambda config: config.plugins,
+    "standard_plugins": plugins.standard,
+    "plugin_add": plugins.added,
+    "plugin_add_standard": plugins.with_standard,
+    "plugin_remove": plugins.removed,
+    "plugin_validate": plugins.validate,
+    "plugin_scaffold": plugins.scaffold,
+    "plugin_sync": plugins.sync,
     "health": structure.scores,
     "edges": edges,
     "hotspots": structure.hotspots,
@@ -116,8 +161,8 @@ TOOLS: dict[str, Callable] = {
     "policy_presets": lambda: sorted(PRESETS),
     "policy_init": lambda name: dump(PRESETS[name]),
     "memory_summary": Store.summary,
-    "baseline_save": Store.save,
-    "baseline_diff": diff.keyed_diff,
+    "baseline_save": saved_baseline,
+    "baseline_diff": lambda before, after: {"deltas": baseline.deltas(before, after), "changes": baseline.changes(before, after)},
     "baseline_tables": Store.names,
     "baseline_table_read": lambda store, name, args: typed_query.run(store.read(name), typed_query.from_json(args)),
     "baseline_query": lambda store, name, text: prefix.engine(store.spark, {"t": store.read(name), **{n: store.read(n) for n in store.names()}}).rows(text),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +32,17 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, from `spark.checkpoint.dir`.
 
-    Only where a session names none (a local test), a temporary folder of this process is set.
+    Only where a local session names none (a test), a temporary folder is set; it is deleted when the process ends. On a cluster a folder must be named.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = getattr(spark, "_factlens_shared", None)
         if conf is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
             conf = tempfile.mkdtemp(prefix="factlens-")
+            atexit.register(shutil.rmtree, conf, ignore_errors=True)
             spark._factlens_shared = conf
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,17 @@ def relative(files: DataFrame, prefix: str) -> DataFrame:
     if not p:
         return files
     return files.where(F.col("path").startswith(p + "/")).withColumn("path", F.substring(F.col("path"), len(p) + 2, 1 << 20))
+
+
+def latest(commits: DataFrame, files: DataFrame, n: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The n newest commits, by time and id, with their files: the window that the commit metrics look at."""
+    kept = commits.orderBy(F.desc("ts"), "commit_id").limit(n)
+    return kept, files.join(F.broadcast(kept.select("commit_id")), "commit_id", "left_semi")
+
+
+def read(spark: SparkSession, path: str, prefix: str = "", n: int | None = 500) -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) of exported logs (a file or a folder of files), paths relative to a folder, the n newest commits or all."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    commits, files = parse(raw, "at", log="log")
+    files = relative(files, prefix)
+    return (commits, files) if n is None else latest(commits, files, n)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import tomllib
 from dataclasses import dataclass, field
+from pathlib import Path
 
 
 @dataclass
@@ -107,7 +109,7 @@ def load(text: str) -> Config:
 
 
 def dump(config: Config) -> str:
-    """The TOML text of the limits, weights and scan paths that `load` reads back."""
+    """The TOML text of the limits, weights, scan paths, boundaries and plugins that `load` reads back."""
     show = lambda v: str(v).lower() if isinstance(v, bool) else repr(v).replace("'", '"') if not isinstance(v, str) else '"' + v + '"'
     out = ["[score]"] + [f"{k}_weight = {show(v)}" for k, v in dataclasses.asdict(config.weights).items()]
     out += ["", "[rules]"] + [f"{k} = {show(v)}" for k, v in dataclasses.asdict(config.limits).items() if k != "language_overrides"]
@@ -118,9 +120,17 @@ def dump(config: Config) -> str:
         out += ["", "[[boundaries.forbidden_edges]]", f'from = "{f.from_module}"', f'to = "{f.to_module}"', f'reason = "{f.reason}"']
     for language, over in config.limits.language_overrides.items():
         out += ["", f"[rules.language_overrides.{language}]"] + [f"{k} = {v}" for k, v in over.items()]
+    for p in config.plugins:
+        out += ["", "[[plugins]]"] + [f"{k} = {json.dumps(v)}" for k, v in p.items()]
     return "\n".join(out) + "\n"
 
 
+def write(config: Config, path: str) -> str:
+    """Writes a configuration, and gives its path."""
+    Path(path).write_text(dump(config))
+    return path
+
+
 #: Policy presets by name.
 PRESETS: dict[str, Config] = {
     "rust-crate": Config(limits=Limits(max_function_complexity=15), module_roots=["src"], test_roots=["tests"], public_api_paths=["src/lib.rs"]),

@@ -67,13 +67,19 @@ class Store:
         return checkpointed(self.read(name))
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replaces a table: written aside first, then put in its place, so that a failed write leaves the old one."""
+        """Replaces a table: written aside first, the old one is set aside before the new one takes its place, and put back if that fails."""
         fs, _, jvm = self._fs()
         aside = f"{self.path}/.{check_name(name)}-{uuid.uuid4().hex}"
         df.write.parquet(aside)
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs.delete(place, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(aside), place)
+        old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.old-{name}-{uuid.uuid4().hex}")
+        had = fs.exists(place) and fs.rename(place, old)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), place):
+            if had:
+                fs.rename(old, place)
+            raise StoreError(f"{name} could not be put in place")
+        if had:
+            fs.delete(old, True)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Adds rows to a table, which it creates."""

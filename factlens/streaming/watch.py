@@ -18,16 +18,23 @@ def arriving(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1
 
 
 def on_change(stream: DataFrame, digest: Callable[[DataFrame], str], emit: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Calls `emit` with a batch whose digest differs from the last emitted one; empty batches never count as change."""
-    last: dict[str, str] = {}
+    """Calls `emit` with a batch whose digest differs from the last emitted one; empty batches never count as change.
+
+    The digest is kept beside the checkpoint, after the batch is emitted: a restart emits no batch twice but one that failed on the way.
+    """
+    spark = stream.sparkSession
+    last = f"{checkpoint.rstrip('/')}-emitted"
 
     def handle(batch: DataFrame, n: int) -> None:
         if batch.isEmpty():
             return
         d = digest(batch)
-        if last.get("d") != d:
-            last["d"] = d
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(last)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        if not there or spark.read.text(last, wholetext=True).first()[0] != d:
             emit(batch, n)
+            spark.createDataFrame([(d,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(last)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=DEBOUNCE)).start()

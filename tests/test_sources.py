@@ -49,6 +49,44 @@ def test_scan(spark, tmp_path):
     assert len(scan.snapshot_id(files)) == 64
 
 
+RUST = """use std::{fmt, io as input};
+use crate::b::{
+    helper,
+    other as alt,
+};
+/* block
+   comment */
+pub fn outer(x: i32) -> i32 {
+    helper(x) + helper(x)
+}
+
+fn last() { alt() }
+
+#[cfg(test)]
+mod tests {
+    #[test]
+    // a note
+    fn works() {
+        assert!(true);
+    }
+    fn inside() {}
+}
+"""
+
+
+def test_scan_of_blocks_imports_and_tests(spark):
+    texts = spark.createDataFrame([("src/a.rs", RUST), ("src/b.rs", "pub fn helper(x: i32) -> i32 {\n    x\n}\npub fn other() {}\n"), ("src/k.py", "def f(a):\n    if a:\n        return g(a)\n\ndef g(b):\n    return b\n")], "path string, content string")
+    x = {k: v.cache() for k, v in scan.facts(texts).items()}
+    assert {(r["name"], r["start_line"], r["end_line"]) for r in x["functions"].collect()} == {("outer", 8, 10), ("last", 12, 12), ("works", 18, 20), ("inside", 21, 21), ("helper", 1, 3), ("other", 4, 4), ("f", 1, 4), ("g", 5, 7)}
+    got = {(r["target"], r["alias"], r["resolved_file"]) for r in x["imports"].where("from_file = 0").collect()}
+    assert {t[:2] for t in got} == {("std::fmt", None), ("std::io", "input"), ("crate::b::helper", None), ("crate::b::other", "alt")}
+    assert {r["symbol"] for r in x["entry_points"].where("kind = 'test'").collect()} == {"works", "inside"}
+    names = {r["function_id"]: r["name"] for r in x["functions"].collect()}
+    assert sorted((names[r["caller_function"]], names[r["callee_function"]]) for r in x["call_edges"].collect()) == [("f", "g"), ("outer", "helper"), ("outer", "helper")]
+    assert [r["comment_lines"] for r in x["files"].orderBy("file_id").collect()] == [5, 0, 0]
+    assert sorted(r["file_id"] for r in x["files"].collect()) == [0, 1, 2]
+
+
 def test_stream_and_reports(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id long, h string").write.parquet(str(tmp_path / "in"))
     seen = []
