@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,13 +47,43 @@ FUNCTIONS = ("common", "symbols", "shape", "spaces", "length", "ending", "run",
 HARSH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|[бвгджзклмнпрстфхцчшщ]{5}|^[bcdfghjklmnpqrstvwxz]{4,}$|^[бвгджзклмнпрстфхцчшщ]{4,}$")
 
 
-def line_votes(line: str, before: str, after: str) -> tuple[int, ...]:
-    """The votes of the labelling functions on a line that is not blank: 0 prose, 1 no prose, 2 abstains."""
-    s = CODE.sub("code", line.strip()) if "`" in line else line.strip()
+class Kinds(dict):
+    """The kind of each character, for `translate`: a letter, m mark, s white space, d other alphanumeric, o any other."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "a" if c.isalpha() else "s" if c.isspace() else "d" if c.isalnum() else "m" if unicodedata.category(c)[0] == "M" else "o"
+        return kind
+
+
+KINDS = Kinds()
+LETTERS, DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+ENTRY = re.compile(r"(?:[-*+•·]|\(?\d+[.):]|\[[ xX]\]|[A-Za-z_][\w.]*\s*[=:]\s*\S+$|[{}\[\]<|\"]|\|)")
+GAP = re.compile(r"\S {3,}\S")
+
+
+@lru_cache(maxsize=1 << 17)
+def is_harsh(word: str) -> bool:
+    """Whether a word has a run of consonants that hardly a natural word has."""
+    return HARSH.search(word) is not None
+
+
+def line_shape(line: str) -> str:
+    """A line with runs of letters and of digits made equal."""
+    return DIGITS.sub("0", LETTERS.sub("a", line))
+
+
+def line_votes(line: str, shape: str, before: str | None, after: str | None) -> tuple[int, ...]:
+    """The votes of the labelling functions on a line that is not blank, given its shape and those of its neighbours: 0 prose, 1 no prose, 2 abstains."""
+    s = line.strip()
+    if "`" in s:
+        s = CODE.sub("code", s)
+        shape = line_shape(s)
     n = len(s)
     words = PART.findall(s)
-    letters = sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in s)
-    blanks = sum(c.isspace() for c in s)
+    kinds = s.translate(KINDS)
+    letters = kinds.count("a") + kinds.count("m")
+    blanks = kinds.count("s")
     low = [w.lower() for w in words if not w.isdigit()]
     unspaced = UNSPACED.search(s) is not None and letters > 0.5 * n
     common = sum(w in COMMON for w in low)
@@ -60,19 +91,18 @@ def line_votes(line: str, before: str, after: str) -> tuple[int, ...]:
     v_common = 0 if common >= 2 or share >= 0.25 or unspaced else 1 if not common and len(words) != 1 else 2
     rest = (n - letters - blanks) / n
     v_symbols = 1 if rest >= 0.28 else 0 if rest <= 0.12 else 2
-    entry = bool(re.match(r"(?:[-*+•·]|\(?\d+[.):]|\[[ xX]\]|[A-Za-z_][\w.]*\s*[=:]\s*\S+$|[{}\[\]<|\"]|\|)", s))
+    entry = ENTRY.match(s) is not None
     fields = max(s.count(d) for d in ("\t", ";", "|", ","))
     sep = s.count("\t") >= 1 or s.count(";") >= 2 or s.count("|") >= 2 or (s.count(",") >= 2 and s.count(", ") < s.count(","))
-    v_shape = 1 if entry or (sep and fields >= 2) or re.search(r"\S {3,}\S", s) or (s.count("/") >= 1 and blanks == 0) else 0 if len(words) >= 5 or unspaced else 2
+    v_shape = 1 if entry or (sep and fields >= 2) or GAP.search(s) or (s.count("/") >= 1 and blanks == 0) else 0 if len(words) >= 5 or unspaced else 2
     token = (n - blanks) / (blanks + 1)
     v_spaces = 0 if unspaced else 1 if n >= 20 and token > 14 else 0 if 3 <= token <= 8 and len(words) >= 4 else 2
     mean = sum(map(len, words)) / len(words) if words else 0.0
     v_length = 0 if unspaced else 1 if mean > 9 else 0 if len(words) >= 4 and 3 <= mean <= 7.5 and letters > 0.6 * n else 2
     v_ending = 0 if ENDS.search(s) and (len(words) >= 3 or unspaced) else 1 if s[-1:] in ";|{}[]" else 2
-    shape = re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", s))
-    v_run = 1 if any(o and re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", o.strip())) == shape for o in (before, after)) else 2
+    v_run = 1 if shape in (before, after) else 2
     long_ = [w for w in low if len(w) >= 4 and w.isalpha()]
-    harsh = sum(HARSH.search(w) is not None for w in long_) / len(long_) if long_ else 0.0
+    harsh = sum(map(is_harsh, long_)) / len(long_) if long_ else 0.0
     v_sound = 1 if harsh >= 0.2 else 0 if len(long_) >= 2 and harsh <= 0.05 else 2
     pauses = sum(s.count(c) for c in ",.;:!?…")
     v_density = 2 if unspaced or len(words) < 10 else 1 if share < 0.04 and pauses * 20 < len(words) else 0 if share >= 0.12 else 2
@@ -89,14 +119,16 @@ def statistics(text: str) -> tuple[int, float, float, float, float, dict[int, in
     lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
     full = [x for x in lines if x.strip()]
     words = WORD.findall(text)
-    solid = sum(not c.isspace() for c in text)
-    marks = sum(not (c.isalnum() or c.isspace() or unicodedata.category(c)[0] == "M") for c in text)
+    kinds = text.translate(KINDS)
+    solid = len(kinds) - kinds.count("s")
+    marks = kinds.count("o")
     patterns: dict[int, int] = {}
+    shapes = [None, *[line_shape(x.strip()) for x in full], None]
     for i, x in enumerate(full):
         code = 0
-        for v in line_votes(x, full[i - 1] if i else "", full[i + 1] if i + 1 < len(full) else ""):
+        for v in line_votes(x, shapes[i + 1], shapes[i], shapes[i + 2]):
             code = code * 3 + v
-        patterns[code] = patterns.get(code, 0) + sum(not c.isspace() for c in x)
+        patterns[code] = patterns.get(code, 0) + len("".join(x.split()))
     return (
         len(words),
         sum(map(len, words)) / len(words) if words else 0.0,
