@@ -62,7 +62,7 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of lines per module, merged from one digest per module and scan day."""
     days = quantiles.digests(latest_lines(spark, sf_dir), ["module", "day"], "lines", EPS)
     whole = quantiles.merged(days, ["module"], EPS)
-    return quantiles.percentiles(whole, ["module"], {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}, EPS)
+    return quantiles.percentiles(whole, ["module"], SHARES, EPS)
 
 
 def p2_day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,27 @@ def p2_day_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.digests(latest_lines(spark, sf_dir), ["module", "day"], "lines", EPS)
 
 
+SHARES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+
+
+def p2_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(known, name, n, enough, close) of percentiles over two large groups, whose digests are compressed: whether the promise of `percentiles` holds.
+
+    `enough`: at least ceil(share * n) values are no greater. `close`: of the values below the code of the result at most
+    rank_error lie beyond that rank.
+    """
+    rows = table(spark, sf_dir, "trend_hotspots").where("risk_score >= 0").select(F.col("snapshot_id").isNotNull().alias("known"), "risk_score")
+    found = quantiles.percentiles(quantiles.digests(rows, ["known"], "risk_score", EPS), ["known"], SHARES, EPS)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("share"), F.col(k).alias("value")) for k, v in SHARES.items()])).alias("e")
+    asked = found.select("known", "n", "rank_error", each).select("known", "n", "rank_error", "e.*")
+    shift = F.greatest(F.length(F.bin("value")) - (quantiles.BITS + 1), F.lit(0))
+    asked = asked.withColumn("low", F.call_function("shiftleft", F.call_function("shiftright", F.col("value"), shift), shift))
+    # Two groups with five percentiles each.
+    both = rows.join(F.broadcast(asked), "known").groupBy("known", "name", "share", "n", "rank_error").agg(F.count_if(F.col("risk_score") <= F.col("value")).alias("up"), F.count_if(F.col("risk_score") < F.col("low")).alias("below"))
+    wanted = F.ceil(F.col("share") * F.col("n"))
+    return both.select("known", "name", "n", (F.col("up") >= wanted).alias("enough"), (F.col("below") < wanted + F.col("rank_error")).alias("close"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that were not written by hand for their repository."""
     sources = current_sources(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_texts"), ["path", "repo"])
@@ -113,7 +134,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
-    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p3_found": p3_found, "p3_exact": p3_exact, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_quality": p9_quality}
+    "p2_percentiles": p2_percentiles, "p2_day_digests": p2_day_digests, "p2_bound": p2_bound, "p3_found": p3_found, "p3_exact": p3_exact, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_renamed": p8_renamed, "p9_found": p9_found, "p9_quality": p9_quality}
 
 ORACLE = {
     "p3_found": """
@@ -142,3 +163,4 @@ select snapshot_id, path from (
 """,
 }
 ORACLE["p3_exact"] = ORACLE["p3_found"]
+ORACLE["p2_bound"] = "select snapshot_id is not null as known, name, count(*) as n, true as enough, true as close from trend_hotspots, (values ('p25'), ('p50'), ('p75'), ('p90'), ('p99')) s(name) where risk_score >= 0 group by 1, 2"

@@ -234,6 +234,9 @@ def encode(df: DataFrame, key: str, text: str, ranks: str | None = None, words:
     table = load_ranks(ranks_path)
     lexicon = {w.encode(): merge(w.encode(), table) for w in frequent_words(df, text, words, often)}
     name = ship(spark, pack(build(lexicon)), "lexicon")
+    # The vocabulary is shipped too, so that executors need no folder of their own.
+    spark.sparkContext.addFile(ranks_path)
+    ranks_name = os.path.basename(ranks_path)
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = SparkFiles.get(name)
@@ -245,7 +248,7 @@ def encode(df: DataFrame, key: str, text: str, ranks: str | None = None, words:
             raw = word.encode("utf-8", "replace")
             out = auto.ids_of(raw)
             if out is None:
-                out = merge(raw, _ranks(ranks_path))
+                out = merge(raw, _ranks(SparkFiles.get(ranks_name)))
             if len(word) <= 64:
                 if len(seen) >= 200_000:
                     seen.clear()
