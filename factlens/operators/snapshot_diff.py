@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Pair rows up to which the pair list is broadcast; each row is two ids and a series name (about 250 bytes, so 50 MB).
 BROADCAST_PAIRS = 200_000
+#: Parts that a snapshot's rows are spread over where the pairs are too many to broadcast.
+SALT = 32
 
 _TWO63, _TWO64 = str(2**63), str(2**64)
 
@@ -65,16 +67,21 @@ def snapshot_changes(
         F.xxhash64("series", "later").alias("_p1"),
         F.xxhash64(F.lit(7), "later", "series").alias("_p2"),
     )
-    if pairs.count() <= broadcast_pairs:
-        tagged = F.broadcast(tagged)
+    few = pairs.count() <= broadcast_pairs
     age = F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(2**60)))
     state = age.cast("decimal(20,0)") * F.lit(_TWO64).cast("decimal(20,0)") + row_hash(values).cast("decimal(20,0)")
     slim = rows.select(F.col(snapshot).alias("_snapshot"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], state.alias("_state"))
     names = [f"_k{i}" for i in range(len(keys))]
     half, whole = (F.lit(x).cast("decimal(38,0)") for x in (_TWO63, _TWO64))
     hash_of = lambda c: F.pmod(F.col(c) + half, whole)
+    if few:
+        sided = slim.join(F.broadcast(tagged), "_snapshot")
+    else:
+        # A snapshot of very many rows is spread over SALT parts; a snapshot has two tags at most, so their copies stay few.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+        sided = slim.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALT)).cast("int")).join(tagged.select("*", salts), ["_snapshot", "_salt"])
     found = (
-        slim.join(tagged, "_snapshot")
+        sided
         .groupBy("_p1", "_p2", *names)
         .agg(F.max(F.when(F.col("_side") == 1, F.col("_state"))).alias("_after"), F.max(F.when(F.col("_side") == 0, F.col("_state"))).alias("_before"))
         .select(
@@ -89,6 +96,6 @@ def snapshot_changes(
         .where("change is not null")
     )
     named = pairs.select("series", "later", F.xxhash64("series", "later").alias("_p1"), F.xxhash64(F.lit(7), "later", "series").alias("_p2"))
-    if pairs.count() <= broadcast_pairs:
+    if few:
         named = F.broadcast(named)
     return found.join(named, ["_p1", "_p2"]).select("series", "later", *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "change")
