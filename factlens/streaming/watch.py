@@ -32,9 +32,9 @@ def on_change(stream: DataFrame, digest: Callable[[DataFrame], str], emit: Calla
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(last)
         there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        if not there or spark.read.text(last, wholetext=True).first()[0] != d:
+        if not there or spark.read.text(last, wholetext=True).first()[0].rstrip("\n") != d:
             emit(batch, n)
-            spark.createDataFrame([(d,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(last)
+            spark.createDataFrame([(d,)], "value string").coalesce(1).write.mode("overwrite").text(last)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=DEBOUNCE)).start()

@@ -93,6 +93,12 @@ def test_stream_and_reports(spark, tmp_path):
     q = watch.on_change(watch.arriving(spark, str(tmp_path / "in"), "id long, h string"), lambda b: b.first()["h"], lambda b, n: seen.append(b.count()), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert seen == [1]
+    # Another run over rows of the same digest emits nothing, one over rows of another digest does.
+    for row, want in (((2, "a"), [1]), ((3, "b"), [1, 1])):
+        spark.createDataFrame([row], "id long, h string").write.mode("append").parquet(str(tmp_path / "in"))
+        q = watch.on_change(watch.arriving(spark, str(tmp_path / "in"), "id long, h string"), lambda b: b.first()["h"], lambda b, n: seen.append(b.count()), str(tmp_path / "cp"), once=True)
+        q.awaitTermination(60)
+        assert seen == want
     doc = reports.sarif(spark.createDataFrame([("error", "c", "/r/a.rs", "m")], "severity string, code string, path string, message string"), root="/r")
     assert '"uri": "a.rs"' in doc and '"version": "2.1.0"' in doc
     assert reports.tsv(spark.createDataFrame([(None, 1)], "a string, b long")).first()[0] == "\t1"
