@@ -16,6 +16,10 @@ from factlens.operators.facts import Facts
 from factlens.sources.config import Config
 
 
+#: Parts that the calls of one name are spread over.
+SALT = 16
+
+
 def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
     """One row (bits, normalised, groups) of a column of counts; (0, 0) for at most one positive count. Rounded to three decimals."""
     c = counts.where(F.col(n) > 0)
@@ -190,7 +194,7 @@ def top_functions(facts: Facts, called: bool = True, n: int = 10) -> DataFrame:
 def resolved_calls(calls: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
     """(call_id, caller_function, callee_function): each call to the only function of its name in its file, else in its top folder, else anywhere.
 
-    One join on the name and one aggregation per call; a name with very many functions is counted, not listed.
+    Functions are counted per name, not listed. The join on the bare name is spread over SALT parts, as one name may be that of a third of all calls.
     """
     top = F.element_at(F.split(F.col("path"), "/"), 1)
     f = functions.join(files.select("file_id", top.alias("top")), "file_id").select(F.col("name").alias("target"), F.col("file_id").alias("ff"), F.col("top").alias("ft"), F.col("function_id").alias("g"))
@@ -200,7 +204,9 @@ def resolved_calls(calls: DataFrame, functions: DataFrame, files: DataFrame) ->
     one = lambda t, *keys: t.where("n = 1").select(*keys, F.col("g"))
     c = calls.where("caller_function is not null").join(files.select("file_id", top.alias("top")), "file_id").withColumn("target", F.element_at(F.split("target", r"::|\."), -1))
     j = c.join(one(per_file, "target", F.col("ff").alias("file_id")).withColumnRenamed("g", "g1"), ["target", "file_id"], "left")
-    j = j.join(one(per_top, "target", F.col("ft").alias("top")).withColumnRenamed("g", "g2"), ["target", "top"], "left").join(one(overall, "target").withColumnRenamed("g", "g3"), "target", "left")
+    anywhere = one(overall, "target").select("target", F.col("g").alias("g3"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    j = j.join(one(per_top, "target", F.col("ft").alias("top")).withColumnRenamed("g", "g2"), ["target", "top"], "left")
+    j = j.withColumn("_salt", F.pmod(F.xxhash64("call_id"), F.lit(SALT)).cast("int")).join(anywhere, ["target", "_salt"], "left")
     return j.select("call_id", "caller_function", F.coalesce("g1", "g2", "g3").alias("callee_function")).where("callee_function is not null")
 
 
